@@ -49,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives lost executors and later steps start from files."""
+def pin_partitions(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint that keeps partitions and their row order, for jobs that number rows by partition."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -58,6 +58,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a step of a loop to the shared folder and read it back.
+
+    The table survives lost executors, later plans start from files, and its real size decides how it is joined.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder for a table or text written by a job."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
