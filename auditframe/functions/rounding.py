@@ -1,10 +1,10 @@
 """Exact decimal rounding of doubles inside whole-stage code generation.
 
 ``round``/``bround`` work on the shortest decimal spelling of a double and go wrong at ties.  Here the two
-neighbouring candidates k/10^d and (k+1)/10^d are compared by their exact distance from the value.  All steps are
-exact in double arithmetic: the scaled value is held as product + error (Dekker), k is an integer below 2^53, one
-correctly rounded division gives each candidate, and the differences to the value are exact because the candidates
-lie within a factor of two of it (for k = 0 the comparison is still decided correctly).
+neighbouring candidates k/10^d and (k+1)/10^d are compared by their exact distance from the value.  Double arithmetic
+decides this exactly: one correctly rounded division gives each candidate, and the differences to the value are exact
+because the candidates lie within a factor of two of it (for k = 0 the comparison still comes out right).  Away from
+the middle between two candidates the comparison is not needed.
 """
 
 from __future__ import annotations
@@ -13,40 +13,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 _SPLIT = 134217729.0  # 2^27 + 1, splits a double into two halves
 _EXACT_LIMIT = 9007199254740992.0  # 2^53: from here on the neighbours are no closer than the value itself
-
-
-def _halves(x: Column) -> tuple[Column, Column]:
-    c = x * F.lit(_SPLIT)
-    high = c - (c - x)
-    return high, x - high
+_COARSE = 1099511627776.0  # 2^40: from here on the scaled value has too few fraction bits to trust its fraction
 
 
 def product_error(a: Column, factor: float, product: Column) -> Column:
-    """Exact error of the rounded product ``a * factor``."""
-    a_hi, a_lo = _halves(a)
-    c = factor * _SPLIT
-    f_hi = c - (c - factor)
+    """Exact error of the rounded product ``a * factor`` (both factors split into halves)."""
+    c = a * F.lit(_SPLIT)
+    a_hi = c - (c - a)
+    a_lo = a - a_hi
+    f = factor * _SPLIT
+    f_hi = f - (f - factor)
     f_lo = factor - f_hi
     return ((a_hi * F.lit(f_hi) - product) + a_hi * F.lit(f_lo) + a_lo * F.lit(f_hi)) + a_lo * F.lit(f_lo)
 
 
-def exact_floor(a: Column, factor: float) -> Column:
-    """floor(a * factor) for non-negative ``a`` with a product below 2^53."""
-    product = a * F.lit(factor)
-    low = F.floor(product).cast("double")
-    if factor == 1.0:
-        return low
-    overshoot = (low == product) & (product_error(a, factor, product) < 0)
-    return F.when(overshoot, low - 1).otherwise(low)
-
-
-def _choose(x: Column, factor: float, k: Column, below: Column, above: Column) -> Column:
-    mag = F.abs(x)
-    to_below = F.abs(mag - below)
-    to_above = F.abs(above - mag)
+def _choose(x: Column, factor: float, scaled: Column) -> Column:
+    mag, k = F.abs(x), F.floor(scaled).cast("double")
+    below, above = k / F.lit(factor), (k + 1) / F.lit(factor)
+    middle = (F.abs(scaled - k - F.lit(0.5)) < F.lit(1e-3)) | (scaled > F.lit(_COARSE))
+    to_below, to_above = F.abs(mag - below), F.abs(above - mag)
     take_below = (to_below < to_above) | ((to_below == to_above) & (k % 2 == 0))
-    nearest = F.when(take_below, below).otherwise(above)
-    untouched = x.isNull() | (mag == 0) | ~(mag * F.lit(factor) < F.lit(_EXACT_LIMIT))
+    nearest = F.when(~middle, F.rint(scaled) / F.lit(factor)).when(take_below, below).otherwise(above)
+    untouched = x.isNull() | (mag == 0) | ~(scaled < F.lit(_EXACT_LIMIT))
     return F.when(untouched, x).when(x < 0, -nearest).otherwise(nearest)
 
 
@@ -55,25 +43,13 @@ def round_exact(col: Column, places: int) -> Column:
 
     The sign is kept (a negative value that rounds to zero gives -0.0); missing and infinite values pass through.
     """
-    factor = float(10**places)
     x = col.cast("double")
-    k = exact_floor(F.abs(x), factor)
-    return _choose(x, factor, k, k / F.lit(factor), (k + 1) / F.lit(factor))
+    return _choose(x, float(10**places), F.abs(x) * F.lit(float(10**places)))
 
 
 def round_columns(df: DataFrame, places: dict[str, int]) -> DataFrame:
-    """``round_exact`` on many columns, in narrow steps so that each intermediate value is computed once."""
+    """``round_exact`` on many columns; the scaled values are computed once in a step of their own."""
     columns = df.columns
-    floors = {f"__k_{c}": exact_floor(F.abs(F.col(c)), float(10**p)) for c, p in places.items()}
-    df = df.withColumns(floors)
-    bounds = {}
-    for c, p in places.items():
-        k = F.col(f"__k_{c}")
-        bounds[f"__lo_{c}"] = k / F.lit(float(10**p))
-        bounds[f"__hi_{c}"] = (k + 1) / F.lit(float(10**p))
-    df = df.withColumns(bounds)
-    rounded = {
-        c: _choose(F.col(c), float(10**p), F.col(f"__k_{c}"), F.col(f"__lo_{c}"), F.col(f"__hi_{c}"))
-        for c, p in places.items()
-    }
+    df = df.withColumns({f"__scaled_{c}": F.abs(F.col(c)) * F.lit(float(10**p)) for c, p in places.items()})
+    rounded = {c: _choose(F.col(c), float(10**p), F.col(f"__scaled_{c}")) for c, p in places.items()}
     return df.select(*[rounded[c].alias(c) if c in rounded else F.col(c) for c in columns])

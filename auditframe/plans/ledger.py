@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditframe.operators import gates, graph, ledger_rules, references as refs, structure, vocabulary as voc
 from auditframe.plans.registry import query
-from auditframe.plans.views import frame, sql_with
+from auditframe.plans.views import frame, remembered, sql_with
 
 # --- typed tables of the derived ledgers ---------------------------------------------------------------------------
 
 
+@remembered
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     base = frame(spark, sf, "v_claims")
     condition = F.struct(F.col("condition_on").alias("decision_id"), F.lit("a").alias("equals"))
@@ -23,34 +24,42 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("blocked_by", F.col("blocking_ids")).drop("blocking_ids")
 
 
+@remembered
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "v_sources").withColumn("sufficient_for", F.array(F.lit("existence"), F.col("sufficient")))
 
 
+@remembered
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "v_evidence")
 
 
+@remembered
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "v_edges")
 
 
+@remembered
 def spans(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "v_spans").withColumn("claim_ids", F.array_compact(F.array("claim_id"))).drop("claim_id")
 
 
+@remembered
 def assumptions(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "v_assumptions").withColumn("used_by", F.array("used_by1", "used_by2"))
 
 
+@remembered
 def claim_objects(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "v_claim_json").select("ledger_id", "pos", F.col("pos").alias("idx"), "raw")
 
 
+@remembered
 def source_objects(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "v_source_json").select("ledger_id", "pos", F.col("pos").alias("idx"), "raw")
 
 
+@remembered
 def run_objects(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "v_run_json").select("ledger_id", F.lit(0).alias("pos"), F.lit(0).alias("idx"), "raw")
 
@@ -130,7 +139,7 @@ def types_sql(kind: str) -> str:
     parts = []
     for f, shape in structure.SHAPES[kind].items():
         base = shape.removesuffix(" or null")
-        items = f"CAST(raw->'$.{f}' AS JSON[])"
+        items = f"(CASE WHEN {_type(f)} = 'ARRAY' THEN CAST(raw->'$.{f}' AS JSON[]) END)"
         holds = {
             "a non-empty string": f"length(trim({_str(f)})) > 0",
             "a string": f"{_type(f)} = 'VARCHAR'",
@@ -251,8 +260,8 @@ def c4_check_types(spark: SparkSession, sf: str) -> DataFrame:
 @query("c5_check_id_list", sql_with("v_claim_json", body=_finding_sql(
     "V-000", "'Claim ' || " + _show("claim_id") + " || ' field ''depends_on'' must be a unique list of Claim IDs.'", _str("claim_id"),
     f"""FROM v_claim_json WHERE {_type('depends_on')} IS NOT NULL AND NOT ({_type('depends_on')} = 'ARRAY'
-      AND len(list_filter(CAST(raw->'$.depends_on' AS VARCHAR[]), lambda x: NOT regexp_matches(x, {ID_RE}))) = 0
-      AND len(list_distinct(CAST(raw->'$.depends_on' AS VARCHAR[]))) = len(CAST(raw->'$.depends_on' AS VARCHAR[])))""")))
+      AND len(list_filter(TRY_CAST(raw->'$.depends_on' AS VARCHAR[]), lambda x: NOT regexp_matches(x, {ID_RE}))) = 0
+      AND len(list_distinct(TRY_CAST(raw->'$.depends_on' AS VARCHAR[]))) = len(TRY_CAST(raw->'$.depends_on' AS VARCHAR[])))""")))
 def c5_check_id_list(spark: SparkSession, sf: str) -> DataFrame:
     return structure.check_id_list(claim_objects(spark, sf))
 

@@ -6,6 +6,9 @@ run on the Spark side of a view, the oracles on the DuckDB side.
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = [
@@ -170,6 +173,58 @@ FROM (SELECT *, CAST(substring(ledger_id, 3) AS BIGINT) AS rank_key FROM v_runs)
 """, "v_runs")
 
 
+
+_CENTS = "CAST(floor({} * 100 + 0.5) AS BIGINT)"
+_DIV = "CAST(floor({} / {}) AS BIGINT)"
+
+
+def _two(x: str) -> str:
+    return f"lpad(CAST({x} AS STRING), 2, '0')"
+
+
+def _whole(c: str, unit: int) -> str:
+    return f"CAST(CAST(floor({c} / {unit}) AS BIGINT) AS STRING)"
+
+
+def _compact(day: str) -> str:
+    return f"replace(CAST({day} AS STRING), '-', '')"
+
+
+view("v_money", """
+SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d0, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents, c_mktsegment,
+  coalesce(line_cents, 0) AS line_cents
+FROM orders JOIN customer ON o_custkey = c_custkey
+LEFT JOIN (SELECT l_orderkey, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS line_cents FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey
+""")
+view("v_contracts", f"""
+SELECT k + 1 AS row_index,
+  CASE WHEN k % 1009 = 5 THEN '1.5e+' || CAST(k % 90 + 10 AS STRING) WHEN k % 983 = 0 AND k > 0 THEN CAST(k - 1 AS STRING) ELSE CAST(k AS STRING) END AS BSV,
+  CASE WHEN k % 7 = 3 THEN '' WHEN k % 29 = 2 THEN '0' WHEN k % 31 = 4 THEN 'NA' WHEN k % 211 = 9 THEN '2013-13-45' ELSE CAST(d0 AS STRING) END AS abschlussdatum,
+  CASE WHEN k % 5 = 4 THEN '00000000' WHEN k % 37 = 6 THEN '2011/04/01' ELSE CAST(d0 + 30 AS STRING) END AS einloesungsdatum,
+  CASE WHEN k % 6 = 1 THEN 'NA' WHEN k % 223 = 11 THEN '2013112' WHEN k % 227 = 13 THEN '2011/04/01' WHEN k % 17 = 5 THEN {_compact('(d0 + 3652)')} || '.0'
+    ELSE {_compact('(d0 + CAST(3652 + k % 5 * 400 AS INT))')} END AS erstmalige_zuteilungsanwartschaft,
+  CASE WHEN k % 3 = 0 THEN '' WHEN k % 8 = 1 THEN CAST(d0 + CAST(8000 + k % 9 * 500 AS INT) AS STRING) ELSE {_compact('(d0 + CAST(8000 + k % 9 * 500 AS INT))')} END AS Tilgungsbeginn,
+  CASE WHEN k % 4 = 2 THEN '0' WHEN k % 229 = 17 THEN '21501231' ELSE {_compact('(d0 + CAST(9500 + k % 11 * 300 AS INT))')} END AS Vertragsende,
+  CASE WHEN k % 401 = 7 THEN '' WHEN k % 409 = 8 THEN '1,2,3' WHEN k % 419 = 9 THEN '-500' WHEN k % 421 = 10 THEN '36.263'
+    WHEN k % 4 = 0 AND cents >= 100000 THEN {_whole('cents', 100000)} || '.' || lpad(CAST(CAST(floor(cents / 100) AS BIGINT) % 1000 AS STRING), 3, '0') || ',' || {_two('cents % 100')}
+    ELSE {_whole('cents', 100)} || '.' || {_two('cents % 100')} END AS DaBetrag,
+  CASE WHEN k % 37 = 1 THEN '0' WHEN k % 41 = 2 THEN '' WHEN k % 10 = 0 THEN {_whole('cents', 300000)} || '.' || lpad(CAST(cents % 1000 AS STRING), 3, '0')
+    ELSE {_whole('(cents * (1 + k % 3))', 100000)} || '.' || lpad(CAST(cents * (1 + k % 3) % 100000 AS STRING), 5, '0') END AS bausparsumme_teuro,
+  CASE WHEN k % 431 = 11 THEN 'n/a' WHEN k % 433 = 12 THEN 'unknown' ELSE {_whole('line_cents * (k % 10)', 2000)} || ',' || {_two('line_cents % 100')} END AS guthaben,
+  CASE k % 5 WHEN 0 THEN '0.3' WHEN 1 THEN '0,3500' WHEN 2 THEN '0.4' WHEN 3 THEN '0.5' ELSE 'NA' END AS tariff_amount,
+  CASE WHEN k % 6 = 5 THEN '' ELSE c_mktsegment END AS contract_type
+FROM v_money
+""", "v_money")
+view("v_contract_lines", """
+SELECT '' || file AS file, row_index + 1 AS line_no, '"' || BSV || '",' || abschlussdatum || ',' || einloesungsdatum || ',' || erstmalige_zuteilungsanwartschaft || ',' || Tilgungsbeginn || ',' ||
+  Vertragsende || ',"' || DaBetrag || '",' || bausparsumme_teuro || ',"' || guthaben || '",' || CASE WHEN contains_comma THEN '"' || tariff_amount || '"' ELSE tariff_amount END || ',' || contract_type ||
+  CASE WHEN row_index % 499 = 3 THEN ',surplus' ELSE '' END AS line
+FROM (SELECT *, CASE WHEN contract_type = '' THEN 'none.csv' ELSE lower(contract_type) || '.csv' END AS file, tariff_amount LIKE '%,%' AS contains_comma FROM v_contracts) x
+UNION ALL SELECT DISTINCT CASE WHEN contract_type = '' THEN 'none.csv' ELSE lower(contract_type) || '.csv' END, 0,
+  'BSV,abschlussdatum,einloesungsdatum,erstmalige_zuteilungsanwartschaft,Tilgungsbeginn,Vertragsende,DaBetrag,bausparsumme_teuro,guthaben,tariff_amount,contract_type' FROM v_contracts
+""", "v_contracts")
+
+
 def _closure(names: tuple[str, ...]) -> list[str]:
     out: list[str] = []
 
@@ -196,14 +251,44 @@ def sql_with(*names: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table; its schema is looked up once per folder."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = _SCHEMAS.get((sf_dir, name))
+    if schema is None:
+        schema = _SCHEMAS[(sf_dir, name)] = spark.read.parquet(path).schema
+    return spark.read.schema(schema).parquet(path)
+
+
+def _tables_of(sql: str) -> list[str]:
+    return [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
+
+
+_FRAMES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def remembered(fn):
+    """Keep the (lazy) DataFrame a function builds for one session and folder: plans are reused, data is not held."""
+
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str, *args: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, fn.__module__ + fn.__name__ + "/".join(args))
+        if key not in _FRAMES:
+            _FRAMES[key] = fn(spark, sf_dir, *args)
+        return _FRAMES[key]
+
+    return wrapper
 
 
+@remembered
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a view over the driver tables."""
-    load_tables(spark, sf_dir)
     if name in TABLES:
-        return spark.table(name)
-    return spark.sql(sql_with(name, body=f"SELECT * FROM {name}"))
+        return _table(spark, sf_dir, name)
+    sql = sql_with(name, body=f"SELECT * FROM {name}")
+    for table in _tables_of(sql):
+        _table(spark, sf_dir, table).createOrReplaceTempView(table)
+    return spark.sql(sql)
