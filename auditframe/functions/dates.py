@@ -16,7 +16,7 @@ PLAUSIBLE_TO = "2100-01-01"
 HYPHEN_FORM = r"(?s)\A([0-9]{1,4})-([0-9]{1,2})-([0-9]{1,2}).*\z"
 SLASH_FORM = r"(?s)\A([0-9]{1,4})/([0-9]{1,2})/([0-9]{1,2}).*\z"
 # With a greedy scan that never gives digits back, only a four-digit year followed by a two-digit month can succeed.
-DIGIT_FORM = r"(?s)\A([0-9]{4})([0-9]{2})([0-9]{1,2}).*\z"
+DIGIT_FORM = r"\A[0-9]{7}"
 
 
 def _calendar(text: Column, pattern: str) -> Column:
@@ -26,12 +26,18 @@ def _calendar(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), padded.try_cast("date"))
 
 
+def _hyphen_date(t: Column) -> Column:
+    """``Y-m-d``; the full ten-character form needs no pattern."""
+    full = (F.octet_length(t) == 10) & (F.substring(t, 5, 1) == "-") & (F.substring(t, 8, 1) == "-")
+    return F.when(full, t.try_cast("date")).otherwise(_calendar(t, HYPHEN_FORM))
+
+
 def is_marker(trimmed: Column) -> Column:
     return trimmed.isin(DATE_MARKERS)
 
 
 def separated_date(trimmed: Column, form: str) -> Column:
-    return _calendar(trimmed, HYPHEN_FORM if form == "-" else SLASH_FORM)
+    return _hyphen_date(trimmed) if form == "-" else _calendar(trimmed, SLASH_FORM)
 
 
 def unambiguous_date(trimmed: Column) -> Column:
@@ -40,7 +46,10 @@ def unambiguous_date(trimmed: Column) -> Column:
 
 
 def digit_date(trimmed: Column) -> Column:
-    return _calendar(trimmed, DIGIT_FORM)
+    two_digit_day = F.substring(trimmed, 8, 1).between("0", "9")
+    day = F.when(two_digit_day, F.substring(trimmed, 7, 2)).otherwise(F.substring(trimmed, 7, 1))
+    text = F.concat(F.substring(trimmed, 1, 4), F.lit("-"), F.substring(trimmed, 5, 2), F.lit("-"), day)
+    return F.when(trimmed.rlike(DIGIT_FORM), text.try_cast("date"))
 
 
 def mixed_date(col: Column) -> Column:

@@ -22,7 +22,9 @@ EXPONENT_ID_PATTERN = r"\A[+-]?[0-9]*\.?[0-9]+[eE][+-]?[0-9]+\z"
 
 
 def trim_cell(col: Column) -> Column:
-    return F.trim(col, F.lit(CELL_WHITESPACE))
+    """Cell without surrounding white space; text that begins and ends in visible ASCII is passed on as it is."""
+    clean = F.ascii(col).between(33, 126) & F.ascii(F.substring(col, -1, 1)).between(33, 126)
+    return F.when(clean, col).otherwise(F.trim(col, F.lit(CELL_WHITESPACE)))
 
 
 def has_content(col: Column) -> Column:

@@ -19,6 +19,7 @@ from auditframe.functions.text import is_exponent_id, trim_cell
 from auditframe.operators import lifecycle as lc
 from auditframe.operators.ordering import exact_median
 from auditframe.operators.profile import id_stats, markers_seen
+from auditframe.session import cut_lineage
 
 PARSED = {
     "abschlussdatum": "parsed_start", "einloesungsdatum": "parsed_first_payment",
@@ -64,7 +65,7 @@ def collisions(columns: list[str]) -> list[str]:
 
 
 def _unreadable(columns: list[str]) -> Stats:
-    kinds = {c: date_class(F.col(c)) for c in _dates(columns)}
+    kinds = {c: F.col(f"class_{c}") for c in _dates(columns)}
     stats = {f"unreadable_{c}": _count(k.startswith("unreadable")) for c, k in kinds.items()}
     stats |= {f"hyphenated_{c}": _count(k == "unreadable_hyphenated") for c, k in kinds.items()}
     return stats
@@ -91,7 +92,7 @@ def _tariff(columns: list[str]) -> Stats:
 
 
 def _negative(columns: list[str]) -> Stats:
-    return {f"negative_{c}": _count(amount(F.col(c)) < 0) for c in _amounts(columns) if c != "tariff_amount"}
+    return {f"negative_{c}": _count(F.col(f"value_{c}") < 0) for c in _amounts(columns) if c != "tariff_amount"}
 
 
 def _shape(columns: list[str]) -> Stats:
@@ -213,13 +214,24 @@ def checked_cells(df: DataFrame, valuation_date: str, coerced: list[str] | None
     """Input cells, record and unrounded values side by side: what the checks read."""
     present = [c for c in df.columns if c in lc.INPUT_COLUMNS and c != "contract_type"]
     cells = lc.contract_cells(df, valuation_date, coerced)
-    return lc.publish(cells, keep=[*present, *UNROUNDED]).withColumn("valuation_date", F.lit(valuation_date).try_cast("date"))
+    cells = cells.withColumns(
+        {f"class_{c}": date_class(F.col(c)) for c in _dates(present)} | {f"value_{c}": amount(F.col(c)) for c in _amounts(present)}
+        | {"valuation_date": F.lit(valuation_date).try_cast("date")}
+    )
+    derived = [f"class_{c}" for c in _dates(present)] + [f"value_{c}" for c in _amounts(present)]
+    return lc.publish(cells, keep=[*present, *UNROUNDED, *derived, "valuation_date"])
 
 
 def evaluate(cells: DataFrame, header: list[str], only: list[str] | None = None) -> DataFrame:
-    """(id, severity, status, evidence map) for the chosen checks; ``header`` holds the received column names."""
+    """(id, severity, status, evidence map) for the chosen checks; ``header`` holds the received column names.
+
+    Several passes read the cells (identifiers, the median, the markers, everything else), so a run of more than a few
+    checks stores them once instead of deriving them per pass.
+    """
     chosen = [c for c in CHECKS if only is None or c.id in only]
     columns = [c for c in header if c != "row_index"]
+    if len(chosen) > 6:
+        cells = cut_lineage(cells)
     aggs: Stats = {}
     tables: dict[str, DataFrame] = {}
     wanted: dict[str, list[str]] = {}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from auditframe.functions.text import has_content, is_claim_id
 from auditframe.operators import vocabulary as voc
 from auditframe.operators.structure import BLOCKING, FINDING
+from auditframe.session import cut_lineage
 
 
 def finding_rows(df: DataFrame, rule: str, message: Column, claim_id: Column | None = None) -> DataFrame:
@@ -275,6 +276,11 @@ def union_findings(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [p.select(*FINDING) for p in parts])
 
 
+def stored(*tables: DataFrame) -> list[DataFrame]:
+    """Typed tables written once, so that fifteen rules do not derive them fifteen times."""
+    return [cut_lineage(t) for t in tables]
+
+
 def reference_findings(claims: DataFrame, sources: DataFrame, evidence: DataFrame, edges: DataFrame) -> list[DataFrame]:
     return [
         duplicate_keys(sources, "source_id", "Source"),

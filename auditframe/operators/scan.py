@@ -26,6 +26,11 @@ LISTED_HITS = 25
 LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def _unicode(pattern: str) -> str:
+    """Word boundaries and character classes over all of Unicode, as the patterns mean them."""
+    return f"(?U){pattern}"
+
+
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line) of every text, lines numbered from 1; a final line break opens no further line."""
     parts = F.split(text, LINE_BREAK)
@@ -43,7 +48,7 @@ def scan_patterns(docs: DataFrame, key: str, text: str, patterns: dict[str, str]
     found = F.array_compact(
         F.array(
             *[
-                F.when(F.col("line").rlike(p), F.struct(F.lit(name).alias("pattern"), F.regexp_extract("line", f"({p})", 1).alias("token")))
+                F.when(F.col("line").rlike(_unicode(p)), F.struct(F.lit(name).alias("pattern"), F.regexp_extract("line", _unicode(f"({p})"), 1).alias("token")))
                 for name, p in patterns.items()
             ]
         )
@@ -55,7 +60,7 @@ def scan_patterns(docs: DataFrame, key: str, text: str, patterns: dict[str, str]
 def scan_gate(docs: DataFrame, text: str, patterns: dict[str, str] | None = None, needed: int = MIN_FIRING) -> DataFrame:
     """One row per control text: how many patterns fire and whether the detector counts as valid."""
     patterns = PATTERNS if patterns is None else patterns
-    fired = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(name)) for name, p in patterns.items()]))
+    fired = F.array_compact(F.array(*[F.when(F.col(text).rlike(_unicode(p)), F.lit(name)) for name, p in patterns.items()]))
     return docs.select("*", F.size(fired).alias("fired"), (F.size(fired) >= needed).alias("valid"))
 
 

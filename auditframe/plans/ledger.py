@@ -440,7 +440,8 @@ _ALL_FINDINGS = "\nUNION ALL ".join([_V001, _DUP, _V003, _ENDS1, _ENDS2, _V003P,
 
 
 def all_reference_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return refs.union_findings(refs.reference_findings(claims(spark, sf), sources(spark, sf), evidence(spark, sf), edges(spark, sf)))
+    tables = refs.stored(claims(spark, sf), sources(spark, sf), evidence(spark, sf), edges(spark, sf))
+    return refs.union_findings(refs.reference_findings(*tables))
 
 
 @query("d15_validate_rule_tally", sql_with(*LEDGER, body=f"SELECT rule_id, severity, count(*) AS findings, count(DISTINCT ledger_id) AS ledgers FROM ({_ALL_FINDINGS}) f GROUP BY rule_id, severity"))

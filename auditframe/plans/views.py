@@ -260,7 +260,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = _SCHEMAS.get((sf_dir, name))
     if schema is None:
         schema = _SCHEMAS[(sf_dir, name)] = spark.read.parquet(path).schema
-    return spark.read.schema(schema).parquet(path)
+    return spread(spark.read.schema(schema).parquet(path), name)
+
+
+# the driver tables with enough rows to be worth spreading
+_LARGE = {"orders", "lineitem", "documents", "events", "conversations", "pages", "customer", "part"}
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """Deal a scan that yields fewer tasks than there are cores over all of them; real tables have many files and pass."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if name not in _LARGE or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def _tables_of(sql: str) -> list[str]:
@@ -286,6 +298,8 @@ def remembered(fn):
 @remembered
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a view over the driver tables."""
+    # wide projections outgrow what the JVM compiles in one method; let those stages run unfused
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     if name in TABLES:
         return _table(spark, sf_dir, name)
     sql = sql_with(name, body=f"SELECT * FROM {name}")

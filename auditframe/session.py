@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # above 8000 bytes of bytecode the JVM does not compile a generated method; such stages run better unfused
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditframe.functions.text import is_id_list
 from auditframe.operators.structure import BLOCKING, Raw, _emit, _finding, parsed
+from auditframe.session import cut_lineage
 
 LIST_FIELDS = ["claims", "sources", "evidence", "edges"]
 ITEM_LABEL = {"claims": "Claim", "sources": "Sources", "evidence": "Evidence", "edges": "Edges"}
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ledger file: ``(ledger_id, raw, state)``; state is ``ok``, ``not_object`` or ``unreadable``."""
+    """One row per ledger file: ``(ledger_id, state, v)``; state is ``ok``, ``not_object`` or ``unreadable``."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("ledger_id"), F.col("value").alias("raw"))
     return ledger_state(text)
 
 
 def ledger_state(ledgers: DataFrame) -> DataFrame:
-    kind = F.schema_of_variant(F.try_parse_json("raw"))
-    state = F.when(kind.isNull(), "unreadable").when(kind.startswith("OBJECT"), "ok").otherwise("not_object")
-    return ledgers.select("ledger_id", "raw", state.alias("state"))
+    opening = F.substring(F.ltrim(F.regexp_replace("raw", r"\A\s+", "")), 1, 1)
+    state = F.when(F.col("v").isNull(), "unreadable").when(opening == "{", "ok").otherwise("not_object")
+    # parsed once; every later table reads the stored binary form
+    return cut_lineage(ledgers.select("ledger_id", "raw", F.try_parse_json("raw").alias("v")).select("ledger_id", state.alias("state"), "v"))
 
 
 def root_findings(ledgers: DataFrame) -> DataFrame:
@@ -30,10 +32,10 @@ def root_findings(ledgers: DataFrame) -> DataFrame:
     raw = Raw(F.col("v"))
 
     def absent(field: str) -> Column:
-        return raw.type(field).isNull() | raw.is_null(field)
+        return ~raw.present(field) | F.is_variant_null(raw.field(field))
 
     def not_list(field: str) -> Column:
-        return ~F.coalesce(raw.type(field).startswith("ARRAY"), F.lit(False))
+        return F.try_variant_get("v", f"$.{field}", "array<variant>").isNull()
 
     checks = [
         F.when(
@@ -48,7 +50,7 @@ def root_findings(ledgers: DataFrame) -> DataFrame:
     return (
         _emit(bad_root, [_finding(F.lit("Ledger root must be an object."))])
         .unionByName(_emit(unreadable, [_finding(F.lit("Ledger text is not readable JSON."))]))
-        .unionByName(_emit(parsed(ledgers.filter("state = 'ok'")), checks))
+        .unionByName(_emit(ledgers.filter("state = 'ok'"), checks))
     )
 
 
@@ -57,7 +59,7 @@ def explode_ledger(ledgers: DataFrame) -> dict[str, DataFrame]:
 
     ``idx`` counts only the objects of a list, ``pos`` all of its items.
     """
-    good = parsed(ledgers.filter("state = 'ok'"))
+    good = ledgers.filter("state = 'ok'")
     out = {
         "runs": good.select(
             "ledger_id", F.lit(0).alias("pos"), F.lit(0).alias("idx"), F.to_json(F.try_variant_get("v", "$.run", "variant")).alias("raw")
@@ -68,7 +70,7 @@ def explode_ledger(ledgers: DataFrame) -> dict[str, DataFrame]:
         items = F.try_variant_get("v", f"$.{field}", "array<variant>")
         marked = F.transform(
             items,
-            lambda x: F.struct(x.alias("item"), F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)).alias("is_object")),
+            lambda x: F.struct(x.alias("item"), F.coalesce(F.to_json(x).startswith("{"), F.lit(False)).alias("is_object")),
         )
         numbered = F.transform(
             marked, lambda x, i: F.struct(i.alias("pos"), x["is_object"].alias("is_object"), F.to_json(x["item"]).alias("raw"))
