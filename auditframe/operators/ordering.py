@@ -49,8 +49,9 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
 
     Equal values are counted before the sort, so no value is too frequent for a partition.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    pinned = pin_partitions(counted.repartitionByRange("v").sortWithinPartitions("v"))
+    counted = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    # missing values leave only here: a filter above would be pushed into, and repeat, the expression behind the value
+    pinned = pin_partitions(counted.repartitionByRange("v").sortWithinPartitions("v")).filter("v IS NOT NULL")
     placed = pinned.withColumn("__pid", F.spark_partition_id()).join(F.broadcast(partition_offsets(pinned, F.col("n"))), "__pid")
     low, high = F.floor((F.col("__total") + 1) / 2), F.floor(F.col("__total") / 2) + 1
     sizes = partition_offsets(pinned, F.col("n")).withColumn("__end", F.lead("__offset", 1).over(Window.orderBy("__pid")))
