@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +35,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "audi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local master, where all tasks run on this machine, may fall back to a folder of its own.
-    """
+    """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``, else a part of its warehouse."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -47,9 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
 
 
 def pin_partitions(df: DataFrame) -> DataFrame:
