@@ -16,8 +16,8 @@ import functools
 import hashlib
 import heapq
 import re
-import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,21 @@ _CACHED_CHARS = 48
 _CHUNK_ROWS, _WORD_ROWS = 300_000, 1_000_000  # of the two caches of a worker process
 
 
+class Remembered(dict):
+    """Results of a function of a string; those of short strings stay, up to so many."""
+
+    def __init__(self, fn: Callable[[str], bytes], rows: int):
+        self.fn, self.rows = fn, rows
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.fn(key)
+        if len(key) <= _CACHED_CHARS:
+            if len(self) >= self.rows:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class RankQueue:
     """Buckets of positions by rank; the lowest filled rank is found through a bitmap of two levels of 256-bit words."""
 
@@ -59,8 +74,7 @@ class ByteBPE:
         # the pattern's white space is Unicode's White_Space property
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.cache: dict[str, bytes] = {}  # by chunk
-        self.words: dict[str, bytes] = {}  # by pre-token
+        self.chunks, self.words = Remembered(self._pieces, _CHUNK_ROWS), Remembered(self._word, _WORD_ROWS)
         size = max(self.tokens, default=0) + 1
         lengths = np.zeros(size, np.int64)
         for i, t in self.tokens.items():
@@ -129,34 +143,16 @@ class ByteBPE:
         return [self.ranks[p] for p in parts if p is not None]
 
     def _pieces(self, text: str) -> bytes:
-        cache, out = self.words, []
-        for word in self.pattern.findall(text):
-            ids = cache.get(word)
-            if ids is None:
-                found = self.merge(word.encode("utf-8", "replace"))
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(word) <= _CACHED_CHARS:
-                    if len(cache) >= _WORD_ROWS:
-                        cache.clear()
-                    cache[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.merge(word.encode("utf-8", "replace"))).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if is_exotic(text):
             return self._pieces(text)
-        cache, out = self.cache, []
-        for chunk in _CHUNK.findall(text):
-            ids = cache.get(chunk)
-            if ids is None:
-                ids = self._pieces(chunk)
-                if len(chunk) <= _CACHED_CHARS:
-                    if len(cache) >= _CHUNK_ROWS:
-                        cache.clear()
-                    cache[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         out = []
