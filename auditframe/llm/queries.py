@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from auditframe.llm import bpe, imatch, jaccard, line_chunks, packing, quality, warc
+from auditframe.llm import bpe, imatch, jaccard, line_chunks, packing, quality, toxicity, warc
 
-_MODULES = (warc, quality, jaccard, imatch, bpe, packing, line_chunks)
+_MODULES = (warc, quality, toxicity, jaccard, imatch, bpe, packing, line_chunks)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
