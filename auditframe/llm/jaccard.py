@@ -238,6 +238,19 @@ def candidates(regions: DataFrame, rest: DataFrame, groups: DataFrame, sizes: Da
     return cut_lineage(near.unionByName(far).distinct())
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The row with the smallest doc_id of every component (null ids last), with all columns; rows without words all stay.
+
+    ``docs`` must be a written table: its rows are numbered, and the numbers must be the same in every job.
+    """
+    own = docs.withColumn("__n", F.monotonically_increasing_id())
+    parts = cut_lineage(jaccard_components(own.select(F.col("__n").alias("doc_id"), "text")).select(F.col("doc_id").alias("__n"), "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__n").alias("n"))
+    first = parts.join(own.select("__n", "doc_id"), "__n").groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = cut_lineage(first.select(F.col("first.n").alias("__n")))
+    return own.join(kept, "__n", "left_semi").drop("__n")
+
+
 def op4_metric_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return jaccard_components(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")))

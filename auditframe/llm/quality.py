@@ -70,9 +70,9 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stats = [statistics(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            stats = [list(map(float, statistics(t))) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             kept = [b.column(b.schema.get_field_index(c)) for c in rest]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([list(map(float, s)) for s in stats], pa.list_(pa.float64()))], names=[*rest, "stats"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(stats, pa.list_(pa.float64()))], names=[*rest, "stats"])
 
     return docs.mapInArrow(run, schema)
 
@@ -192,6 +192,18 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(stats, model)
 
 
+def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are predicted to be of quality, with all their columns."""
+    model = train(docs, labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return score_documents(docs, pick(table(spark, sf_dir, "labels"), doc_id="doc_id", label="quality"))

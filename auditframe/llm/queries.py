@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from auditframe.llm import bpe, imatch, jaccard, line_chunks, packing, quality, toxicity, warc
+import corpus_pipeline
+from auditframe.llm import ball_tree, bpe, imatch, jaccard, langmodel, line_chunks, packing, quality, toxicity, warc
 
-_MODULES = (warc, quality, toxicity, jaccard, imatch, bpe, packing, line_chunks)
+_MODULES = (warc, quality, toxicity, jaccard, imatch, ball_tree, bpe, langmodel, packing, line_chunks)
 
-QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -152,25 +152,25 @@ def describe(gains: np.ndarray) -> list[float]:
     return [*np.log1p(counts).tolist(), *(float(c > 0) for c in counts), float(np.sqrt(counts[1] / max(1, len(gains))))]
 
 
-def with_gains(docs: DataFrame, d: Dictionaries, text: str = "text") -> DataFrame:
-    """All columns but the text, and ``g0``, ``g1``, ..."""
-    rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*rest).schema
+def with_gains(docs: DataFrame, d: Dictionaries, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """The columns (without the text, unless it is kept), and ``__g0``, ``__g1``, ..."""
+    rest = [c for c in docs.columns if keep_text or c != text]
+    schema = docs.select(*(f"`{c}`" for c in rest)).schema
     for i in range(PARTS):
-        schema = schema.add(f"g{i}", DoubleType())
+        schema = schema.add(f"__g{i}", DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = d.gains()
         for b in batches:
             x = np.array([describe(gains(ascii_words(t))) for t in b.column(b.schema.get_field_index(text)).to_pylist()], float).reshape(-1, PARTS)
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), *map(pa.array, x.T)], names=[*rest, *(f"g{i}" for i in range(PARTS))])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), *map(pa.array, x.T)], names=[*rest, *(f"__g{i}" for i in range(PARTS))])
 
     return docs.mapInArrow(run, schema)
 
 
 def fit_curve(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression on the sampled descriptions (equal weight of the classes' base rates kept); mean, scale, weights."""
-    x = np.array([[r[f"g{i}"] for i in range(PARTS)] for r in rows], float)
+    x = np.array([[r[f"__g{i}"] for i in range(PARTS)] for r in rows], float)
     y = np.array([r["label"] for r in rows], float)
     n = np.array([r["n"] for r in rows], float)
     mean, scale = np.average(x, axis=0, weights=n), np.sqrt(np.average((x - np.average(x, axis=0, weights=n)) ** 2, axis=0, weights=n)) + 1e-9
@@ -184,19 +184,46 @@ def fit_curve(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mean, scale, w
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for documents (doc_id, text); labels (doc_id, label)."""
+@dataclasses.dataclass(frozen=True)
+class Classifier:
+    dictionaries: Dictionaries
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+
+    def scored(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
+        """The columns of documents (text), ``__score`` and ``__predicted``."""
+        own = [c for c in docs.columns if keep_text or c != "text"]
+        z = sum(((F.col(f"__g{i}") - float(self.mean[i])) / float(self.scale[i]) * float(self.weights[i]) for i in range(PARTS)), F.lit(float(self.weights[PARTS])))
+        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+        rows = with_gains(docs, self.dictionaries, keep_text=keep_text).withColumn("__score", score)
+        return rows.select(*(f"`{c}`" for c in own), "__score", (F.col("__score") >= THRESHOLD).cast("int").alias("__predicted"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
+    """Fit on documents (doc_id, text) with labels (doc_id, label); None where a class has no training row."""
     chosen = cut_lineage(sample_labels(labels, sample))  # at most 2 * sample ids
     sampled = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"))
     d = train_dictionaries(sampled)
-    own = docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text")
     if d is None:
+        return None
+    cells = with_gains(sampled, d).groupBy("label", *(F.round(f"__g{i}", 3).alias(f"__g{i}") for i in range(PARTS))).agg(F.count("*").alias("n"))
+    return Classifier(d, *fit_curve(cells.collect()))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for documents (doc_id, text); labels (doc_id, label)."""
+    own = docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text")
+    model = train(docs, labels, sample)
+    if model is None:
         return own.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    cells = with_gains(sampled, d).groupBy("label", *(F.round(f"g{i}", 3).alias(f"g{i}") for i in range(PARTS))).agg(F.count("*").alias("n"))
-    mean, scale, w = fit_curve(cells.collect())
-    z = sum(((F.col(f"g{i}") - float(mean[i])) / float(scale[i]) * float(w[i]) for i in range(PARTS)), F.lit(float(w[PARTS])))
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    return with_gains(own, d).select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return model.scored(own).withColumnsRenamed({"__score": "score", "__predicted": "predicted"})
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns."""
+    model = train(docs, labels)
+    return docs if model is None else model.scored(docs, keep_text=True).filter("__predicted = 0").drop("__score", "__predicted")
 
 
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
