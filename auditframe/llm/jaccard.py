@@ -5,16 +5,16 @@ sets are at distance 1 from each other, where no pivot tells them apart.  So the
 sets within the radius share one of their rarest ``n - ceil(0.8 n) + 1`` shingles, so each such shingle spans a small subspace.
 Within a subspace:
 
-* the pivot is its most central set (the smallest share of rare shingles); every other set is measured against it, so the
+* the pivot is its most central set (the smallest share of rare shingles); the other sets are measured against it, so the
   number of distances is linear in the entries and not in the pairs of a group;
-* the region of a pivot is the ball of the join radius r (0.2), whose sets are linked through the pivot itself; a set within
-  2 r of the pivot lies in the window of the region and is replicated to it, since by the triangle inequality no other set
-  can be within r of a set of the ball;
-* sets outside the ball form the next, smaller subspace with a pivot of their own (``LEVELS`` times; what is left then is one
-  region in which all sets are in each other's window).
+* the region of a pivot is the ball of the join radius r (0.2), whose sets are linked through the pivot itself;
+* sets outside the ball form the next, smaller subspace with a pivot of their own (``LEVELS`` times).
 
-Then every region joins its ball with its window, for sets that differ in component and whose distances to the pivot differ
-by r at most.  No link that could change a component is lost, and copies are never expanded into pairs.
+Then only links between different components can matter.  Every subspace joins its sets of different components within windows: by
+the triangle inequality two sets within r differ by r at most in their distance to the pivot, so a boundary set meets only that
+shell of the ball.  A set that shares fewer than ``MEASURED`` prefix shingles with the pivot is not measured and stays in every
+window.  Sets within r share at least ``_least_shared`` prefix shingles, which a count over the subspaces tells; what is left is
+measured exactly.  No link that could change a component is lost, and copies are never expanded into pairs.
 
 The order of rarity needs no table that grows with the corpus: shingle counts are summed over ``CELLS`` hash cells; a cell
 well above the mean holds a frequent shingle.  Any order gives exact results; this one keeps common passages out of the prefixes.
@@ -26,6 +26,8 @@ a component unless all its members are null.
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from auditframe.llm.common import ascii_words, cut_lineage, pick, table
 
 WORDS, PERCENT = 5, 80
-LEVELS = 2
-CELLS, _PART = 1 << 18, 1 << 12
+LEVELS, MEASURED = 2, 3
+CELLS, _PART = 1 << 20, 1 << 15
+BITS = 1 << 24
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(32)], np.uint64)
 
 
@@ -67,31 +70,39 @@ def _schema_map(df: DataFrame, fn, schema: str, *names: str) -> DataFrame:
     return df.select(*names).mapInArrow(fn, schema)
 
 
+def _totals(own: DataFrame, dtype: type, combine) -> dict[int, np.ndarray]:
+    """Combine (part, counts) rows of all tasks into one array a part; in two steps, so that no group grows with the tasks."""
+    schema = "part int, counts binary"
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = functools.reduce(combine, (np.frombuffer(zlib.decompress(c), dtype) for c in rows["counts"]))
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    first = own.withColumn("salt", F.spark_partition_id() % 64).groupBy("part", "salt").applyInPandas(lambda r: add(r), schema)
+    rows = first.groupBy("part").applyInPandas(lambda r: add(r), schema).collect()  # a fixed number of cells, whatever the input
+    return {r["part"]: np.frombuffer(zlib.decompress(r["counts"]), dtype) for r in rows}
+
+
+def _parts(array: np.ndarray, size: int) -> pa.RecordBatch:
+    parts = array.reshape(-1, size)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["part", "counts"])
+
+
 def frequency_levels(docs: DataFrame) -> bytes:
     """A level for every cell: 0 at or near the mean, then one for each doubling."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.uint32)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                cells += np.bincount(_cell(shingle_set(t)), minlength=CELLS) if t and len(t) > CELLS else 0
-                if t and len(t) <= CELLS:
-                    np.add.at(cells, _cell(shingle_set(t)), 1)
-        parts = cells.reshape(-1, _PART)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+            found = [shingle_set(t) for t in b.column(0).to_pylist()]
+            cells += np.bincount(_cell(np.concatenate(found)), minlength=CELLS).astype(np.uint32)
+        yield _parts(cells.astype(np.uint64), _PART)
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, np.int64) for c in rows["counts"]], axis=0)
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [total.tobytes()]})
-
-    own = _schema_map(docs, count, "part int, counts binary", "text").withColumn("salt", F.spark_partition_id() % 64)
-    first = own.groupBy("part", "salt").applyInPandas(lambda r: add(r), "part int, counts binary")  # two steps: no group grows with the tasks
-    rows = first.groupBy("part").applyInPandas(lambda r: add(r), "part int, counts binary").collect()  # CELLS counts, whatever the input
-    cells = np.zeros((CELLS // _PART, _PART), np.int64)
-    for r in rows:
-        cells[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    cells = np.zeros((CELLS // _PART, _PART), np.uint64)
+    for part, counts in _totals(_schema_map(docs, count, "part int, counts binary", "text"), np.uint64, np.add).items():
+        cells[part] = counts
     mean = cells.mean()
-    usual = mean + 8 * np.sqrt(mean) + 16
+    usual = mean + 6 * np.sqrt(mean) + 8
     level = np.where(cells <= usual, 0, 1 + np.log2(np.maximum(cells / usual, 1)))
     return level.astype(np.uint8).tobytes()
 
@@ -121,7 +132,27 @@ def prefixes(docs: DataFrame, levels: bytes, size: int = WORDS) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int = WORDS) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, doc, source, d1, d2), worked out again from their texts."""
+    """(node, shingles) of the wanted nodes (node, doc, source, d1, d2), worked out again from their texts.
+
+    A bitmap of fixed size over the wanted texts' hashes keeps most other texts out of the shuffle.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for b in batches:
+            bits[b.column(0).to_numpy() % BITS] = True
+        yield _parts(np.packbits(bits), BITS // 64)
+
+    found = _totals(wanted.select("source").mapInArrow(mark, "part int, counts binary"), np.uint8, np.bitwise_or)
+    bits = np.zeros((8, BITS // 64), np.uint8)
+    for part, b in found.items():
+        bits[part] = b
+    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(bits[b.column(0).to_numpy() % BITS]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,9 +160,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = WORDS) -> DataFrame:
             ok = [xxhash.xxh3_128_intdigest(s.tobytes()) == ((x + (1 << 63)) << 64) + y + (1 << 63) for s, x, y in zip(found, b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "shingles"]).filter(pa.array(ok, pa.bool_()))
 
-    at = docs.select("source", F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text")
-    rows = at.join(wanted.withColumn("doc", F.coalesce("doc", F.lit(-1))), ["source", "doc"])
-    return _schema_map(rows, run, "node bigint, shingles array<bigint>", "node", "d1", "d2", "text").dropDuplicates(["node"])
+    at = docs.select("source", F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text").mapInArrow(may_be, "source bigint, doc bigint, text string")
+    rows = at.join(wanted.withColumn("doc", F.coalesce("doc", F.lit(-1))), ["source", "doc"]).dropDuplicates(["source", "doc"])
+    return _schema_map(rows, run, "node bigint, shingles array<bigint>", "node", "d1", "d2", "text")
 
 
 # ---------------------------------------------------------------- pairs and components
@@ -172,44 +203,66 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _least_shared(n: Column, m: Column) -> Column:
+    """Prefix shingles that two sets of these sizes share at least when they are similar enough to link.
+
+    They have ``both`` shingles in common or more; of the common ones in the order of rarity, those before the first
+    ``prefix - (size - both)`` lie in the prefix of either set.
+    """
+    both = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+    prefix = lambda size: size - F.ceil(PERCENT * size / 100) + 1
+    return F.greatest(F.lit(1), F.least(prefix(n) - n + both, prefix(m) - m + both))
+
+
+def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the sizes na and nb."""
+    return pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
+
+
 def jaccard_components(docs: DataFrame, size: int = WORDS, levels: int = LEVELS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of documents (doc_id bigint, text)."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("source"))
     rows = cut_lineage(prefixes(docs, frequency_levels(docs), size))
-    sets = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first(F.struct("doc_id", "source")).alias("at"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    # one row for each set; of the prefixes only the one that goes on is moved
+    one = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "source")).alias("at"), F.min("n").alias("n"), F.min("rare").alias("rare"))
     # the number of a node begins with its share of rare shingles, so the smallest number is the most central set
-    node = F.col("rare").cast("bigint") * F.lit(1 << 55) + F.monotonically_increasing_id()
-    nodes = cut_lineage(sets.select(node.alias("node"), "d1", "d2", "least", "at", "n", "prefix"))
-    entries = nodes.select("node", F.explode("prefix").alias("s"))
+    number = F.col("rare").cast("bigint") * F.lit(1 << 55) + F.monotonically_increasing_id()
+    nodes = cut_lineage(one.select("d1", "d2", "least", F.col("at.doc_id").alias("doc"), F.col("at.source").alias("source"), "n", "rare")).withColumn("node", number)
+    sizes = nodes.select("node", "n")
+    keyed = rows.filter("n > 0").select("source", F.coalesce("doc_id", F.lit(-1)).alias("doc"), "prefix")
+    chosen = keyed.join(nodes.select("node", "source", F.coalesce("doc", F.lit(-1)).alias("doc")), ["source", "doc"]).select("node", "prefix")
+    entries = chosen.select("node", F.explode("prefix").alias("s"))
     spans = cut_lineage(entries.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other").select("s", "pivot"))
     # a shingle may be in as many prefixes as it likes: two plain shuffles, so that its rows can be split
-    members = cut_lineage(entries.join(spans, "s").filter("node <> pivot").select("s", "node", "pivot"))
-    narrow = nodes.select("node", "n")
-    known = members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct()
-    wanted = nodes.join(known, "node").select("node", F.col("at.doc_id").alias("doc"), F.col("at.source").alias("source"), "d1", "d2")
-    shingles = cut_lineage(sets_of(docs, wanted, size))
+    members = cut_lineage(entries.join(spans, "s").select("s", "node", "pivot"))
+
+    subspace, measured, links = members, None, None
+    shingles: list[DataFrame] = []
 
-    measured, rest = [], None
+    def measure(pairs: DataFrame) -> DataFrame:
+        """(a, b, both, either) of the pairs; sets are worked out where no earlier step has done so."""
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        for known in shingles:
+            need = need.join(known.select("node"), "node", "left_anti")
+        shingles.append(cut_lineage(sets_of(docs, cut_lineage(nodes.join(need, "node").select("node", "doc", "source", "d1", "d2")), size)))
+        return cut_lineage(_measured(pairs, functools.reduce(DataFrame.unionByName, shingles)))
+
+    close = F.col("both") * 100 >= F.col("either") * PERCENT
     for level in range(levels):
-        pairs = members.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        fit = pairs.join(narrow.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(narrow.withColumnsRenamed({"node": "b", "n": "nb"}), "b").filter(_fits(F.col("na"), F.col("nb"), 2 * PERCENT - 100)).select("a", "b")
-        # only what lies in the window of a region goes on
-        step = cut_lineage(_measured(fit, shingles).filter(F.col("both") * 100 >= F.col("either") * (2 * PERCENT - 100)))
-        measured.append(step)
-        ball = step.filter(F.col("both") * 100 >= F.col("either") * PERCENT).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
-        outside = members.join(ball, ["node", "pivot"], "left_anti").select("s", "node")
+        shared = subspace.filter("node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("k"))
+        pairs = _sized(shared, sizes).filter(_fits(F.col("na"), F.col("nb"), 2 * PERCENT - 100))
+        linkable = _fits(F.col("na"), F.col("nb"), PERCENT) & (F.col("k") >= _least_shared(F.col("na"), F.col("nb")))
+        step = measure(cut_lineage(pairs.filter(linkable | (F.col("k") >= MEASURED)).select("a", "b")))
+        measured = step if measured is None else measured
+        ball = step.filter(close).select("a", "b")
+        links = ball if links is None else cut_lineage(links.unionByName(ball))
+        # outside the ball: the next subspace
+        outside = subspace.filter("node <> pivot").join(ball.withColumnsRenamed({"a": "node", "b": "pivot"}), ["node", "pivot"], "left_anti").select("s", "node")
         outside = cut_lineage(outside)
         fresh = cut_lineage(outside.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other").select("s", "pivot"))
-        members = cut_lineage(outside.join(fresh, "s").filter("node <> pivot").select("s", "node", "pivot"))
-        rest = cut_lineage(outside.join(fresh, "s").select("s", "node"))
-    regions = measured[0]
-    for more in measured[1:]:
-        regions = regions.unionByName(more)
-    close = F.col("both") * 100 >= F.col("either") * PERCENT
-    links = cut_lineage(regions.filter(close).select("a", "b"))
+        subspace = cut_lineage(outside.join(fresh, "s"))
     groups = components(links)
-    open_ = candidates(regions.withColumn("distance", 1 - F.col("both") / F.col("either")).withColumn("inner", close), rest, groups, narrow)
-    extra = cut_lineage(_measured(open_, shingles).filter(close).select("a", "b"))
+    extra = measure(crossing(members, measured, groups, sizes)).filter(close).select("a", "b")
     if extra.limit(1).count():
         groups = components(links.unionByName(extra))
     named = nodes.select("node", "d1", "d2", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -219,23 +272,22 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, levels: int = LEVELS)
     return ends.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def candidates(regions: DataFrame, rest: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that only a measurement can tell: ball with window of a region, and the last subspaces."""
+def crossing(members: DataFrame, measured: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that only a measurement can tell, by the windows of each subspace's pivot."""
     radius = 1 - PERCENT / 100 + 1e-9
-    component = groups.join(sizes, "node", "right").select("node", F.coalesce("component", "node").alias("component"), "n")
-    component = cut_lineage(component)
-    mine = component.withColumnsRenamed({"node": "a", "component": "ca", "n": "na"})
-    theirs = component.withColumnsRenamed({"node": "c", "component": "cc", "n": "nc"})
-    windows = regions.filter(~F.col("inner")).select(F.col("a").alias("c"), "b", F.col("distance").alias("dc")).join(theirs, "c")
-    balls = regions.filter("inner").select("a", "b", F.col("distance").alias("da")).join(mine, "a")
-    # regions whose window holds another component than their ball's
-    of_pivot = component.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    windows = cut_lineage(windows.join(of_pivot, "b").filter("cc <> cb").drop("cb"))
-    near = balls.join(windows, "b").filter((F.col("dc") - F.col("da") <= radius) & _fits(F.col("na"), F.col("nc"), PERCENT)).select("a", F.col("c").alias("b"))
-    left = rest.withColumnRenamed("node", "a").join(mine, "a")
-    right = rest.withColumnRenamed("node", "c").join(theirs, "c")
-    far = left.join(right, "s").filter((F.col("a") < F.col("c")) & (F.col("ca") != F.col("cc")) & _fits(F.col("na"), F.col("nc"), PERCENT)).select("a", F.col("c").alias("b"))
-    return cut_lineage(near.unionByName(far).distinct())
+    named = cut_lineage(sizes.join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component")))
+    distance = measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("both") / F.col("either")).alias("d"))
+    placed = members.join(distance, ["node", "pivot"], "left").join(named, "node")
+    placed = cut_lineage(placed.select("s", "node", "n", "component", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d")))
+    # subspaces of a single component are done
+    mixed = cut_lineage(placed.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("s"))
+    open_ = cut_lineage(placed.join(mixed, "s"))
+    sides = [open_.select("s", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("d").alias(f"d{x}")) for x in ("a", "b")]
+    windows = F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= radius)
+    met = sides[0].join(sides[1], "s").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & windows & _fits(F.col("na"), F.col("nb"), PERCENT))
+    # two linked sets of different components meet in every subspace they share, so the count is that of their shared prefix
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return cut_lineage(counted.filter(F.col("k") >= _least_shared(F.col("na"), F.col("nb"))).select("a", "b"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
