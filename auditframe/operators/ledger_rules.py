@@ -90,7 +90,7 @@ def reopened_claims(claims: DataFrame) -> DataFrame:
 def quantity_conflicts(quantities: DataFrame) -> DataFrame:
     """Quantity identifiers whose value or unit disagrees within one (effective date, scenario, context)."""
     groups = quantities.groupBy("ledger_id", "quantity_id", "effective_from", "scenario", "context").agg(
-        F.count_distinct("value", "unit").alias("versions")
+        F.count_distinct(F.struct("value", "unit")).alias("versions")  # a missing unit is a unit of its own
     )
     bad = groups.filter("versions > 1")
     message = _text("Quantity ", F.col("quantity_id"), " has ", F.col("versions").cast("string"), " values for scenario ", F.col("scenario"), ", context ", F.col("context"), ".")

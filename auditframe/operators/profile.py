@@ -7,11 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from auditframe.functions.amounts import NUMBER_PATTERN, amount, classify_cell, profile_date, profile_number
 from auditframe.functions.dates import PLAUSIBLE_FROM, PLAUSIBLE_TO, date_class, implausible, is_marker, mixed_date
 from auditframe.functions.text import is_exponent_id, trim_cell
-from auditframe.operators.ordering import with_chunks, with_positions
-
-# Up to this many distinct values are listed in full; samples name this many offenders.
-VALUES_IN_FULL = 24
-SAMPLE = 10
+from auditframe.operators.ordering import rank_within, with_chunks, with_positions
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,11 +50,11 @@ def approximate_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(rows).alias("x")).select("x.*")
 
 
-def values_in_full(counts: DataFrame, limit: int = VALUES_IN_FULL) -> DataFrame:
-    """The sorted values of every field that has at most ``limit`` of them."""
-    few = counts.groupBy("field").agg(F.count("*").alias("distinct_values")).filter(F.col("distinct_values") <= limit)
-    kept = counts.join(few, "field", "left_semi")
-    return kept.groupBy("field").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("values_in_full"))
+def values_in_full(counts: DataFrame, limit: int | None = None) -> DataFrame:
+    """(field, value, n, distinct_values): every value of every field; a report may leave out fields with more than ``limit``."""
+    fields = counts.groupBy("field").agg(F.count("*").alias("distinct_values"))  # one row a field
+    kept = counts.join(fields, "field").select("field", "value", "n", "distinct_values")
+    return kept if limit is None else kept.filter(F.col("distinct_values") <= limit)
 
 
 def magnitude_histogram(counts: DataFrame) -> DataFrame:
@@ -125,14 +121,16 @@ def date_stats(df: DataFrame, columns: list[str], parsed: dict[str, str] | None
     return _long(cells.agg(*aggs), columns, names)
 
 
-def first_offenders(df: DataFrame, columns: list[str], limit: int = SAMPLE) -> DataFrame:
-    """The first unreadable cells of each date column in received order (ranks are cut before the shuffle)."""
+def first_offenders(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+    """The unreadable cells of each date column ranked in received order; a report may ask for the first ones only."""
     bad = F.array_compact(
         F.array(*[F.when(date_class(F.col(c)).startswith("unreadable"), F.struct(F.lit(c).alias("field"), F.col(c).alias("value"))) for c in columns])
     )
     cells = df.select("row_index", F.explode(bad).alias("x")).select("x.field", "row_index", "x.value")
-    rank = F.row_number().over(Window.partitionBy("field").orderBy("row_index"))
-    return cells.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    if limit is None:
+        return rank_within(cells, ["field"], ["row_index"], "rank")
+    rank = F.row_number().over(Window.partitionBy("field").orderBy("row_index"))  # ranks are cut before the shuffle
+    return cells.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= limit)
 
 
 def amount_stats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -175,12 +173,13 @@ def id_stats(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def first_ids(df: DataFrame, column: str, limit: int = SAMPLE) -> DataFrame:
-    """The first duplicated identifiers and the first exponent-shaped ones, in received order."""
+def first_ids(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Duplicated identifiers and exponent-shaped ones with their first row; a report may ask for the first ones only."""
     counts = id_counts(df, column)
-    twice = counts.filter("n > 1").orderBy("first_row").limit(limit).select(F.lit("duplicated").alias("what"), "id", "first_row")
+    first = lambda d: d if limit is None else d.orderBy("first_row").limit(limit)
+    twice = first(counts.filter("n > 1")).select(F.lit("duplicated").alias("what"), "id", "first_row")
     exponent = df.filter(is_exponent_id(F.col(column))).select(F.lit("exponent").alias("what"), F.col(column).alias("id"), F.col("row_index").alias("first_row"))
-    return twice.unionByName(exponent.orderBy("first_row").limit(limit))
+    return twice.unionByName(first(exponent))
 
 
 # --- positional files and loose cells --------------------------------------------------------------------------------

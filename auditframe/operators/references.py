@@ -159,7 +159,9 @@ def exactly_one_edge(evidence: DataFrame, edges: DataFrame) -> DataFrame:
 def negative_retrieval_clean(evidence: DataFrame, edges: DataFrame) -> DataFrame:
     """Negative retrieval that names a source or carries a RETRIEVED_FROM edge."""
     linked = _negative(evidence).join(_source_links(edges), ["ledger_id", "evidence_id"], "left")
-    dirty = linked.filter((_source_shown(evidence) != "None") | F.col("links").isNotNull())
+    # a source is named by its id, whatever its text, or by a value of another type, which only the shown text holds
+    named = F.col("source_id").isNotNull() | (_source_shown(evidence) != "None")
+    dirty = linked.filter(named | F.col("links").isNotNull())
     message = _text("Negative-retrieval Evidence ", F.col("evidence_id"), " must have no Source or RETRIEVED_FROM edge.")
     return finding_rows(dirty, "V-003", message)
 

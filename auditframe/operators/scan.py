@@ -21,8 +21,6 @@ PATTERNS = {
 }
 CONTROL_LINE = "comfortable <- sapply(valuation_by_year, function(df) sum(df$DaBetrag, na.rm=TRUE))"
 MIN_FIRING = 4
-CONTEXT_CHARS = 110
-LISTED_HITS = 25
 LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
@@ -54,7 +52,7 @@ def scan_patterns(docs: DataFrame, key: str, text: str, patterns: dict[str, str]
         )
     )
     hits = lines(docs, key, text).select(key, "line_no", "line", F.explode(found).alias("h"))
-    return hits.select(key, "line_no", "h.pattern", "h.token", F.substring(F.trim("line"), 1, CONTEXT_CHARS).alias("context"))
+    return hits.select(key, "line_no", "h.pattern", "h.token", F.trim("line").alias("context"))
 
 
 def scan_gate(docs: DataFrame, text: str, patterns: dict[str, str] | None = None, needed: int = MIN_FIRING) -> DataFrame:
@@ -72,10 +70,11 @@ def scan_summary(docs: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     )
 
 
-def first_hits(hits: DataFrame, key: str, limit: int = LISTED_HITS) -> DataFrame:
-    """The first hits of each text in reading order, as a report lists them (ranks are cut before the shuffle)."""
+def first_hits(hits: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """The hits of each text ranked in reading order; a report may ask for the first ones only (ranks are cut before the shuffle)."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy("line_no", "pattern"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    ranked = hits.withColumn("rank", rank)
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def phrase_probes(docs: DataFrame, key: str, text: str, probes: dict[str, list[str]]) -> DataFrame:

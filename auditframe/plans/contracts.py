@@ -377,7 +377,7 @@ def g1(spark, sf):
     return pr.profile(counts(spark, sf))
 
 
-@query("g2_values_in_full", sql_with("v_contracts", body=f"SELECT field, string_agg(cell, '|' ORDER BY cell) AS values_in_full FROM (SELECT DISTINCT field, cell FROM ({_ALL_CELLS}) x) y GROUP BY field HAVING count(*) <= 24"))
+@query("g2_values_in_full", sql_with("v_contracts", body=f"SELECT field, cell AS value, count(*) AS n, count(*) OVER (PARTITION BY field) AS distinct_values FROM ({_ALL_CELLS}) x GROUP BY field, cell"))
 def g2(spark, sf):
     return pr.values_in_full(counts(spark, sf))
 
@@ -455,8 +455,8 @@ def g8(spark, sf):
     return pr.date_stats(cells(spark, sf), lc.DATE_COLUMNS, checks.PARSED)
 
 
-@query("g8_first_offenders", sql_with("v_contracts", body="SELECT field, row_index, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY row_index) AS rank FROM (" + "\nUNION ALL ".join(
-    f"SELECT '{c}' AS field, row_index, {c} AS value FROM v_contracts WHERE {_class(c)} LIKE 'unreadable%'" for c in _P) + ") x) y WHERE rank <= 10"))
+@query("g8_first_offenders", sql_with("v_contracts", body="SELECT field, row_index, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY row_index) AS rank FROM (" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS field, row_index, {c} AS value FROM v_contracts WHERE {_class(c)} LIKE 'unreadable%'" for c in _P) + ") x) y"))
 def g8b(spark, sf):
     return pr.first_offenders(contracts(spark, sf), lc.DATE_COLUMNS)
 
@@ -480,8 +480,8 @@ def g10(spark, sf):
     return pr.id_stats(contracts(spark, sf), "BSV")
 
 
-@query("g10_first_ids", sql_with("v_contracts", body=f"""SELECT * FROM (SELECT 'duplicated' AS what, id, first_row FROM {_IDC} i WHERE n > 1 ORDER BY first_row LIMIT 10) a
-UNION ALL SELECT * FROM (SELECT 'exponent', BSV AS id, row_index FROM v_contracts WHERE {_EXP.replace('id,', 'BSV,')} ORDER BY row_index LIMIT 10) b"""))
+@query("g10_first_ids", sql_with("v_contracts", body=f"""SELECT * FROM (SELECT 'duplicated' AS what, id, first_row FROM {_IDC} i WHERE n > 1) a
+UNION ALL SELECT * FROM (SELECT 'exponent', BSV AS id, row_index FROM v_contracts WHERE {_EXP.replace('id,', 'BSV,')} ) b"""))
 def g10b(spark, sf):
     return pr.first_ids(contracts(spark, sf), "BSV")
 

@@ -456,11 +456,9 @@ def d15_verdict(spark, sf):
 
 @query("d16_duplicate_text", sql_with("v_claims", body=_finding_sql(
     "V-002", "'Normalised claim shared by ' || CAST(n AS VARCHAR) || ' Claim IDs from ' || a || ' to ' || b || '.'", "a",
-    "FROM (SELECT ledger_id, normalised_claim, min(claim_id) AS a, max(claim_id) AS b, count(DISTINCT claim_id) AS n FROM v_claims_text GROUP BY ALL HAVING count(DISTINCT claim_id) > 1) x")
-    .replace("v_claims_text", "(SELECT ledger_id, claim_id, substr(normalised_claim, 1, 3) || CAST(k % 100 AS VARCHAR) AS normalised_claim FROM v_claims)")))
+    "FROM (SELECT ledger_id, normalised_claim, min(claim_id) AS a, max(claim_id) AS b, count(DISTINCT claim_id) AS n FROM v_claims GROUP BY ALL HAVING count(DISTINCT claim_id) > 1) x")))
 def d16(spark, sf):
-    texts = claims(spark, sf).withColumn("normalised_claim", F.concat(F.substring("normalised_claim", 1, 3), (F.col("k") % 100).cast("string")))
-    return refs.duplicate_text(texts)
+    return refs.duplicate_text(claims(spark, sf))
 
 
 _STALE = f"""SELECT ledger_id, CASE WHEN last_checked IS NULL THEN 'V-007' ELSE 'V-018' END AS rule_id, {BLOCK},

@@ -328,7 +328,7 @@ def l13(spark, sf):
 _PROSE = {"arrow entity": r"&[a-z]+;", "capital word": r"[A-Z][a-z]+", "number": r"[0-9]+", "address": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "call": r"[a-z]+\("}
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, len(string_split(text, chr(10))) AS n FROM documents"
 _LINES = f"SELECT * FROM ({_LINES}) l0 WHERE line <> '' OR line_no < n"
-_HITS = "\nUNION ALL ".join(f"SELECT doc_id, line_no, '{n}' AS pattern, regexp_extract(line, '{p}') AS token, substring(trim(line, ' '), 1, 110) AS context FROM ({_LINES}) l WHERE regexp_matches(line, '{p}')" for n, p in _PROSE.items())
+_HITS = "\nUNION ALL ".join(f"SELECT doc_id, line_no, '{n}' AS pattern, regexp_extract(line, '{p}') AS token, trim(line, ' ') AS context FROM ({_LINES}) l WHERE regexp_matches(line, '{p}')" for n, p in _PROSE.items())
 _PAGE_LINES = f"SELECT page_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM (SELECT page_id, '{scan.CONTROL_LINE}' || chr(10) || html AS t FROM pages) p0"
 
 
@@ -366,7 +366,7 @@ def m3(spark, sf):
     return scan.scan_summary(frame(spark, sf, "documents"), prose_hits(spark, sf), "doc_id")
 
 
-@query("m3_first_hits", f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, pattern, token, context, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pattern) AS rank FROM ({_HITS}) h) r WHERE rank <= 25")
+@query("m3_first_hits", f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, pattern, token, context, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pattern) AS rank FROM ({_HITS}) h) r")
 def m3b(spark, sf):
     return scan.first_hits(prose_hits(spark, sf), "doc_id")
 
@@ -406,7 +406,7 @@ def _fc(d: str) -> str:
 
 _NAIVE = "(length(line) - length(replace(line, ',', '')) + 1)"
 _SCORES = "\nUNION ALL ".join(f"""SELECT file, {i} AS ord, '{n}' AS label, k, CASE WHEN k <= 1 THEN 0 ELSE c * (k - 1) END AS score FROM (SELECT file, k, c, row_number() OVER (PARTITION BY file ORDER BY c DESC, k DESC) AS best
-  FROM (SELECT file, {_fc(d)} AS k, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) AS place FROM v_contract_lines) h WHERE place <= 200 GROUP BY ALL) a) b WHERE best = 1"""
+  FROM (SELECT file, {_fc(d)} AS k, count(*) AS c FROM v_contract_lines GROUP BY ALL) a) b WHERE best = 1"""
     for i, (n, d) in enumerate(ly.CANDIDATES.items()))
 
 
@@ -437,7 +437,7 @@ def a7(spark, sf):
     return ly.naive_field_count_histogram(contract_lines(spark, sf), ",")
 
 
-@query("a8_quoted_delimiter_stats", sql_with("v_contract_lines", body=f"SELECT file, count(*) AS records, count(*) FILTER ({_NAIVE} <> {_fc(',')}) AS quoted_delimiter, 0 AS crlf, 0 AS invalid_utf8, false AS byte_order_mark FROM v_contract_lines GROUP BY file"))
+@query("a8_quoted_delimiter_stats", sql_with("v_contract_lines", body=f"SELECT file, count(*) AS records, count(*) FILTER ({_NAIVE} <> {_fc(',')}) AS quoted_delimiter, count(*) FILTER (suffix(line, chr(13))) AS crlf, 0 AS invalid_utf8, bool_or(starts_with(line, '﻿')) AS byte_order_mark FROM v_contract_lines GROUP BY file"))
 def a8(spark, sf):
     return ly.quoted_delimiter_stats(contract_lines(spark, sf), ",")
 

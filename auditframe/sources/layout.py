@@ -12,21 +12,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from auditframe.functions.text import trim_cell
 from auditframe.operators.ordering import with_chunks, with_positions
 
-# Delimiter candidates in order of preference, records sampled for the choice.
+# Delimiter candidates in order of preference, records that may be the header.
 CANDIDATES = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
-SAMPLE_RECORDS = 200
-HEADER_RECORDS = 6
 HEADER_CANDIDATES = 3
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, line_id, line): physical lines; within a file they order by (block, line_id)."""
-    return spark.read.text(path).select(
+    """(file, block, line_id, line, file_bytes): physical lines; within a file they order by (block, line_id).
+
+    Lines end at the newline, so a carriage return stays at the end of its line, and bytes that are no UTF-8 stay as they are.
+    """
+    return spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_id"), F.regexp_replace("value", "\\A\ufeff", "").alias("line"),
+        F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"), F.col("_metadata.file_size").alias("file_bytes"),
     )
 
 
+def bare(line: Column) -> Column:
+    """The line without a byte-order mark before it and a carriage return after it."""
+    return F.regexp_replace(line, "\\A\ufeff|\r\\z", "")
+
+
 def number_by_block(df: DataFrame, name: str) -> DataFrame:
     """Replace (block, line_id) by the 1-based place in the file, from per-block counts instead of a sort.
 
@@ -70,9 +76,8 @@ def sample(lines: DataFrame, n: int) -> DataFrame:
 
 
 def detect_delimiter(lines: DataFrame) -> DataFrame:
-    """Per file: winning delimiter, runner-up and margin, by modal field count times consistency over the first records."""
-    head = sample(lines, SAMPLE_RECORDS)
-    counted = head.select(
+    """Per file: winning delimiter, runner-up and margin, by modal field count times consistency over all lines."""
+    counted = lines.select(
         "file", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("label"), field_count(F.col("line"), d).alias("k")) for i, (n, d) in enumerate(CANDIDATES.items())])).alias("x")
     ).select("file", "x.ord", "x.label", "x.k")
     modes = counted.groupBy("file", "ord", "label", "k").count()
@@ -92,14 +97,15 @@ def detect_header(lines: DataFrame, delimiter: str) -> DataFrame:
 
     A header has textual, distinct cells that do not repeat in the records below it.
     """
-    head = sample(lines, HEADER_RECORDS).select("file", "place", F.transform(fields(F.col("line"), delimiter), trim_cell).alias("cells"))
-    body = head.select("file", F.col("place").alias("below"), F.col("cells").alias("other"))
+    cells = F.transform(fields(bare(F.col("line")), delimiter), trim_cell)
+    head = sample(lines, HEADER_CANDIDATES).select("file", "line_no", "place", cells.alias("cells"))
+    body = lines.select("file", F.col("line_no").alias("below"), cells.alias("other"))
     n = F.size("cells")
     texty = F.size(F.filter("cells", lambda c: (F.length(c) > 0) & ~c.rlike(r"\A[+-]?[\d.,]+\z")))
     unique = F.size(F.array_distinct("cells"))
-    # at most six records per file meet here
-    pairs = head.filter(F.col("place") <= HEADER_CANDIDATES).join(body, "file", "left")
-    under = F.col("below") > F.col("place")
+    # the records of a file meet its three candidates, so the join grows with the records
+    pairs = head.join(body, "file", "left")
+    under = F.col("below") > F.col("line_no")
     equal = F.size(F.filter(F.arrays_zip(F.col("cells").alias("a"), F.col("other").alias("b")), lambda z: z["a"] == z["b"]))
     repeats = pairs.groupBy("file", "place", "cells").agg(F.sum(F.when(under, equal).otherwise(0)).alias("repeats"), F.count_if(under).alias("rows_below"))
     score = texty / n * 0.5 + unique / n * 0.5 - F.col("repeats") / (n * F.greatest(F.lit(1), F.col("rows_below")))
@@ -135,12 +141,16 @@ def quoted_delimiter_stats(lines: DataFrame, delimiter: str) -> DataFrame:
     """Per file: records with a delimiter inside quotes, line terminators, byte-order mark, invalid UTF-8."""
     line = F.col("line")
     naive = F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit(""))) + 1
+    # the reader takes the mark off the first line, so files read here show it in their size; one byte may lack after the last line
+    mark = F.bool_or(line.startswith("\ufeff"))
+    if "file_bytes" in lines.columns:
+        mark = mark | (F.max("file_bytes") - F.sum(F.octet_length(line) + 1) >= 2)
     return lines.groupBy("file").agg(
         F.count("*").alias("records"),
         F.count_if(naive != field_count(line, delimiter)).alias("quoted_delimiter"),
         F.count_if(line.endswith("\r")).alias("crlf"),
         F.count_if(~F.is_valid_utf8(line)).alias("invalid_utf8"),
-        F.bool_or(line.startswith("\ufeff")).alias("byte_order_mark"),
+        mark.alias("byte_order_mark"),
     )
 
 
