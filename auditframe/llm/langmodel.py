@@ -10,7 +10,7 @@ the token that followed from ``NOISE`` draws of the class unigram, which a minib
 Every partition trains on every ``STRIDE``-th position of all its training documents, from the same start; Spark averages the
 parameters by the number of examples, ``ROUNDS`` times.  What is gathered, counts and examples, grows with the corpus.
 
-Scoring: the counts of the ``HEAD`` most frequent tokens travel with the function (a bounded table); the rest of a text's tokens
+Scoring: the counts of the most frequent tokens, ``HEAD`` at most, travel with the function (a bounded table); the rest of a text's tokens
 are joined to the counts.  Null texts are empty and consist of the end token.  Without training rows every token is unknown, and
 classes are equally likely.  Repeated rows count each, in training and in scoring.
 """
@@ -77,7 +77,16 @@ class Classes:
 
 def make_classes(counts: DataFrame) -> Classes:
     """From the written counts; the head and the suffix table are of bounded size."""
-    head = [(bytes(r["token"]), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()]
+    # the least count of the head, from a histogram of the counts, so that no task sends more than its share of the head
+    step = F.floor(F.log2("c") * 16)
+    bins = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for at, n in bins:
+        if held + n > HEAD:
+            break
+        least, held = at, held + n
+    head = [(bytes(r["token"]), r["c"]) for r in counts.filter(step >= least).collect()] if least is not None else []
+    head.sort(key=lambda r: (-r[1], r[0]))
     known = dict(head)
     ends = counts.filter(F.col("token") == F.lit(END)).first()
     known.setdefault(END, ends["c"] if ends else 0)

@@ -1,7 +1,7 @@
 """Toxicity by compression distance: how much shorter windows of a text become under a dictionary trained on toxic text.
 
 Two zstandard dictionaries are trained, one on the toxic and one on the ordinary documents of a bounded sample of labelled
-training rows (``SAMPLE`` of each label, the first by a hash of the id).  The library's own trainer picks what is frequent,
+training rows (about ``SAMPLE`` of each label, by a hash of the id).  The library's own trainer picks what is frequent,
 which in both classes is the same ordinary language (on the test tables its dictionaries found 27 of 100 toxic documents at 6
 false alarms); so segments (words, and beginnings of words) are chosen by the contrast of their document frequencies between the
 classes.  Both dictionaries end in the same common segments and in ordinary segments that resemble toxic ones, so that a
@@ -101,10 +101,12 @@ def _compressor(content: bytes):
 
 
 def sample_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` training ids of each label, the first by a hash of the id."""
+    """About ``sample`` training ids of each label (all, if fewer), by a hash of the id that stays below a share of its range."""
     own = labels.filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    parts = [own.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    n = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    span = 1 << 31
+    part = lambda k: int(span * min(1.0, sample / max(1, n.get(k, 0))))
+    return own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.when(F.col("label") == 1, part(1)).otherwise(part(0)))
 
 
 def train_dictionaries(sampled: DataFrame) -> Dictionaries | None:
@@ -202,7 +204,7 @@ class Classifier:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
     """Fit on documents (doc_id, text) with labels (doc_id, label); None where a class has no training row."""
-    chosen = cut_lineage(sample_labels(labels, sample))  # at most 2 * sample ids
+    chosen = cut_lineage(sample_labels(labels, sample))  # about 2 * sample ids
     sampled = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"))
     d = train_dictionaries(sampled)
     if d is None:
