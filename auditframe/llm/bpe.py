@@ -29,7 +29,7 @@ from auditframe.llm.common import is_exotic, pick, table
 #: pieces of white space and what follows it; cut where ASCII white space begins, which is always a pre-token boundary
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _CACHED_CHARS = 48
-_CHUNK_ROWS, _WORD_ROWS = 300_000, 1_000_000  # of the two caches of a worker process
+_CHUNK_ROWS, _WORD_ROWS = 700_000, 1_000_000  # of the two caches of a worker process
 
 
 class Remembered(dict):
