@@ -150,13 +150,16 @@ class LogBilinear:
 
     def log_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised natural log probability of each target class."""
-        r = self.predicted(before)
-        logits = r @ self.output.T
-        logits += self.bias
+        # the bias is one more dimension, so that the logits are written once
+        r = np.concatenate([self.predicted(before), np.ones((len(target), 1), np.float32)], 1)
+        weights = np.concatenate([self.output, self.bias[:, None]], 1)
+        logits = r @ weights.T
         at = logits[np.arange(len(target)), target].astype(np.float64)
-        np.clip(logits, -60, 60, out=logits)
+        if np.sqrt((r**2).sum(1).max()) * np.sqrt((weights**2).sum(1).max()) > 60:  # an exponential could overflow
+            np.clip(logits, -60, 60, out=logits)
+            at = np.clip(at, -60, 60)
         np.exp(logits, out=logits)
-        return np.clip(at, -60, 60) - np.log(logits.sum(1, dtype=np.float64))
+        return at - np.log(logits.sum(1, dtype=np.float64))
 
 
 class Trainer:
@@ -195,14 +198,18 @@ class Trainer:
         self.examples += n
 
 
-def class_sequence(words: list[bytes], k: Classes) -> np.ndarray:
+def head_places(words: list[bytes], k: Classes) -> np.ndarray:
+    """Place in the head of each word and of the end; -1 for the other words."""
+    ids = [k.head.get(w, -1) for w in words]
+    ids.append(k.head[END])
+    return np.array(ids, np.int64)
+
+
+def class_sequence(words: list[bytes], ids: np.ndarray, k: Classes) -> np.ndarray:
     """Classes of the words and the end, after ``CONTEXT`` ends that stand before the text."""
-    head, of_head = k.head, k.of_head
-    ids = [-1 if (i := head.get(w)) is None else i for w in words]
-    out = of_head[np.array(ids + [head[END]], np.int64)].astype(np.int64)
-    for n, i in enumerate(ids):
-        if i < 0:
-            out[n] = k.suffix_class(words[n])
+    out = k.of_head[ids].astype(np.int64)
+    for n in np.flatnonzero(ids < 0).tolist():
+        out[n] = k.suffix_class(words[n])
     return np.concatenate([np.full(CONTEXT, k.end), out])
 
 
@@ -230,7 +237,8 @@ def train(docs: DataFrame, k: Classes) -> LogBilinear:
 
             for b in batches:
                 for t in b.column(0).to_pylist():
-                    before, target = windows(class_sequence(ascii_words(t), k))
+                    words = ascii_words(t)
+                    before, target = windows(class_sequence(words, head_places(words, k), k))
                     first = number % STRIDE if len(target) > number else 0
                     held.append((before[first::STRIDE], target[first::STRIDE]))
                     waiting += len(held[-1][1])
@@ -286,10 +294,10 @@ def _partial(docs: DataFrame, k: Classes, model: LogBilinear) -> DataFrame:
             out = []
             for t in b.column(2).to_pylist():
                 words = ascii_words(t)
-                ids = np.array([k.head.get(w, -1) for w in words] + [k.head[END]], np.int64)
+                ids = head_places(words, k)
                 inside = ids[ids >= 0]
                 tail = Counter(words[i] for i in np.flatnonzero(ids < 0).tolist())
-                before, target = windows(class_sequence(words, k))
+                before, target = windows(class_sequence(words, ids, k))
                 score = 0.0
                 for at in range(0, len(target), 1 << 14):  # long texts in steps, to bound the memory
                     score += model.log_probabilities(before[at : at + (1 << 14)], target[at : at + (1 << 14)]).sum()
