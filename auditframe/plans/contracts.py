@@ -563,7 +563,7 @@ def _register_check(name: str, ids: list[str] | None) -> None:
 for _n, _ids in {
     "h1_columns_present": ["P-01", "P-02"], "h2_unreadable_dates": ["P-03", "FND-06"], "h3_plausible_dates": ["P-04"], "h4_tariff_share": ["P-05", "FND-02"],
     "h5_negative_amounts": ["P-06"], "h6_unique_ids": ["P-07", "FND-04"], "h7_derived_shapes": ["P-08"], "h8_rows_kept": ["P-09"], "h9_prefix_names": ["P-10", "FND-12"],
-    "h10_two_commas": ["P-11"], "h11_valuation_date": ["P-12"], "h12_median_ratio": ["P-13"], "h13_thousands_dot": ["FND-01"], "h14_exponent_ids": ["FND-03"],
+    "h10_two_commas": ["P-11"], "h12_median_ratio": ["P-13"], "h13_thousands_dot": ["FND-01"], "h14_exponent_ids": ["FND-03"],
     "h15_ratio_bands": ["FND-05"], "h16_chained_fallback": ["FND-08"], "h17_rounding_discrepancy": ["FND-09"], "h18_value_sets": ["FND-10"], "h19_marker_coverage": ["FND-11"],
     "h20_flag_vs_rounded": ["FND-13"], "h_all_preconditions": None,
 }.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "audi
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))  # one machine, so any folder is shared
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
