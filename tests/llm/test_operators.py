@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -310,6 +311,39 @@ def test_line_chunks(spark, messy):
         assert sum((r["text"] or "").count(chunk.decode()) for r in rows) == 1
 
 
+def test_repeated_passages_go_whole_between_other_lines(spark):
+    """Every line of a passage goes but in one document, whether it is one line, short lines or many, whatever stands around it."""
+    rng = random.Random(11)
+    own = lambda: f"own {rng.random()} {rng.random()} {rng.random()}"
+    passages = [["one line of a passage that stands between other lines " * 2], ["short a", "short line b", "short line c", "and the last d"], [f"line {n} of a longer passage, {n * n}" for n in range(9)], ["a paragraph that is long enough to be one", "", "and a second one that is long enough, too"]]
+    rows = [(n, "\n".join([own(), own(), *passages[n % 4], own(), "tiny"])) for n in range(40)] + [(100, "one line document, which is long enough to count")] * 2 + [(101, "one line document, which is long enough to count")]
+    got = line_chunks.dedupe_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    for lines in passages:
+        assert sum("\n".join(lines) in r["text"] for r in got) == 1
+        for line in filter(None, lines):
+            assert sum(line in r["text"].split("\n") for r in got) == 1
+    text = dict(rows)
+    for r in got:
+        kept = [x for x in text[r["doc_id"]].split("\n") if x.startswith(("own", "tiny", "one line document"))]
+        assert kept == [x for x in r["text"].split("\n") if x.startswith(("own", "tiny", "one line document"))]
+    assert sum(r["__removed"] > 0 for r in got) == 36
+
+
+def test_passage_windows_cover_every_shared_run():
+    rng = random.Random(3)
+    for _ in range(300):
+        passage = [bytes(rng.choices(b"abc", k=rng.randrange(1, 60))) for _ in range(rng.randrange(1, 7))]
+        if len(b"\n".join(passage)) < line_chunks.LEAST_BYTES:
+            continue
+        found = []
+        for head, tail in ((b"x\nyy\n", b"\nz"), (b"", b""), (b"own " * 20 + b"\n", b"\nq\nr\n")):
+            data, skip = head + b"\n".join(passage) + tail, head.count(b"\n")
+            inside = [(f - skip, l - skip) for f, l, _, _ in line_chunks.passage_windows(data) if f >= skip and l < skip + len(passage)]
+            assert {n for f, l in inside for n in range(f, l + 1)} == set(range(len(passage)))
+            found.append(inside)
+        assert found[0] == found[1] == found[2]
+
+
 def test_chunk_bounds_shift_with_inserted_lines():
     lines = [f"line {i} {i * i}\n".encode() for i in range(200)]
     whole, shifted = b"".join(lines), b"".join([b"new line\n", *lines[:100], b"another\n", *lines[100:]])
