@@ -1,14 +1,14 @@
 """Log-bilinear language model, trained by noise-contrastive estimation and scored with full normalisation.
 
 Counts of every token of every training document are summed by Spark.  The model predicts a class from the classes of the last
-``CONTEXT`` tokens: each of the ``WORDS`` most frequent tokens is a class of its own, all other tokens fall into classes by
-their last two bytes.  Within such a class a token has its share by add-one counts, with one place for unknown tokens, so all
+``CONTEXT`` tokens: each of the most frequent tokens, as many as the square root of the distinct ones (``WORDS`` at least), is a
+class of its own, all other tokens fall into classes by their last two bytes, a third as many.  Within such a class a token has its share by add-one counts, with one place for unknown tokens, so all
 probabilities of a position sum to 1.
 
 Training: a position's representation is the sum of its context's vectors, weighted by place; noise-contrastive estimation tells
 the token that followed from ``NOISE`` draws of the class unigram, which a minibatch shares so that all is matrix products.
-Every partition trains on every ``STRIDE``-th position of all its training documents, from the same start; Spark averages the
-parameters by the number of examples, ``ROUNDS`` times.  What is gathered, counts and examples, grows with the corpus.
+Every position of every training document is trained on once, in one of ``ROUNDS`` rounds.  In a round every partition trains from
+the same start and Spark averages the parameters by the number of examples.  What is gathered, counts and examples, grows with the corpus.
 
 Scoring: the counts of the most frequent tokens, ``HEAD`` at most, travel with the function (a bounded table); the rest of a text's tokens
 are joined to the counts.  Null texts are empty and consist of the end token.  Without training rows every token is unknown, and
@@ -18,6 +18,7 @@ classes are equally likely.  Repeated rows count each, in training and in scorin
 from __future__ import annotations
 
 import dataclasses
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from auditframe.llm.common import ascii_words, cut_lineage, held_out, pick, table
 
 HEAD, WORDS, SUFFIXES = 100_000, 192, 63
-DIMENSIONS, CONTEXT, NOISE, STRIDE, ROUNDS, BATCH, RATE = 16, 4, 64, 16, 2, 1024, 0.1
+DIMENSIONS, CONTEXT, NOISE, ROUNDS, BATCH, RATE = 16, 4, 64, 2, 1024, 0.1
+LOGITS = 1 << 22  # numbers held at once when scoring
 END = b""  # no word is empty
 _FLUSH = 400_000
 
@@ -90,7 +92,8 @@ def make_classes(counts: DataFrame) -> Classes:
     known = dict(head)
     ends = counts.filter(F.col("token") == F.lit(END)).first()
     known.setdefault(END, ends["c"] if ends else 0)
-    single = [t for t, _ in head[: WORDS - 1] if t != END][: WORDS - 1] + [END]
+    words = max(WORDS, math.isqrt(sum(n for _, n in bins)))  # grows with the distinct tokens
+    single = [t for t, _ in head[: words - 1] if t != END] + [END]
     tails = counts.groupBy(F.expr("substring(token, -2, 2)").alias("tail")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
     tails = {bytes(r["tail"]): [r["c"], r["v"]] for r in tails.collect()}  # pairs of bytes: at most 65,793 rows
     for t in single:
@@ -98,7 +101,7 @@ def make_classes(counts: DataFrame) -> Classes:
             tails[t[-2:]][0] -= known[t]
             tails[t[-2:]][1] -= 1
     ranked = sorted(tails, key=lambda k: (-tails[k][0], k))
-    suffixes = {k: len(single) + i for i, k in enumerate(ranked[:SUFFIXES])}
+    suffixes = {k: len(single) + i for i, k in enumerate(ranked[: max(SUFFIXES, words // 3)])}
     rest = len(single) + len(suffixes)
     mass, total = np.zeros(rest + 1), np.zeros(rest + 1)
     total[: len(single)] = [known[t] for t in single]
@@ -239,8 +242,7 @@ def train(docs: DataFrame, k: Classes) -> LogBilinear:
                 for t in b.column(0).to_pylist():
                     words = ascii_words(t)
                     before, target = windows(class_sequence(words, head_places(words, k), k))
-                    first = number % STRIDE if len(target) > number else 0
-                    held.append((before[first::STRIDE], target[first::STRIDE]))
+                    held.append((before[number::ROUNDS], target[number::ROUNDS]))
                     waiting += len(held[-1][1])
                     if waiting >= 64 * BATCH:
                         learn()
@@ -299,8 +301,9 @@ def _partial(docs: DataFrame, k: Classes, model: LogBilinear) -> DataFrame:
                 tail = Counter(words[i] for i in np.flatnonzero(ids < 0).tolist())
                 before, target = windows(class_sequence(words, ids, k))
                 score = 0.0
-                for at in range(0, len(target), 1 << 14):  # long texts in steps, to bound the memory
-                    score += model.log_probabilities(before[at : at + (1 << 14)], target[at : at + (1 << 14)]).sum()
+                step = max(1, LOGITS // len(k.mass))
+                for at in range(0, len(target), step):  # long texts in steps, to bound the memory
+                    score += model.log_probabilities(before[at : at + step], target[at : at + step]).sum()
                 score = score / np.log(10) + k.share[inside].sum() - sum(c * k.mass[k.suffix_class(w)] for w, c in tail.items())
                 out.append((len(words) + 1, int(in_training[inside].sum()), float(k.logs[inside].sum()), float(score), [{"token": w, "times": c} for w, c in tail.items()]))
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type]

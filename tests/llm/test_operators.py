@@ -250,6 +250,26 @@ def test_language_model_beats_the_unigram_base(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_language_model_learns_from_every_position(spark):
+    words = ["f"] * 16
+    words[7:9] = ["p", "q"]  # q follows p, and only far from the first places of every sixteen
+    docs = spark.createDataFrame([(" ".join(words * 40),)] * 1000, "text string").coalesce(2)
+    k = langmodel.make_classes(langmodel.count_tokens(docs))
+    p, q, f = (int(k.of_head[k.head[w]]) for w in (b"p", b"q", b"f"))
+    place = (np.array([[p, f, f, f]]), np.array([q]))
+    start, trained = langmodel.LogBilinear.start(k.unigram), langmodel.train(docs, k)
+    assert trained.log_probabilities(*place)[0] > start.log_probabilities(*place)[0] + 0.5
+
+
+def test_language_model_classes_grow_with_the_distinct_tokens(spark):
+    sizes = []
+    for v in (1_000, 90_000):
+        counts = spark.range(v).selectExpr("CAST(concat('w', id) AS binary) AS token", "id + 1 AS c")
+        k = langmodel.make_classes(counts)
+        sizes.append(k.end + 1)
+    assert sizes == [langmodel.WORDS, 300]
+
+
 def check_packing(rows, docs):
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     model.encode_special_tokens = True
