@@ -227,7 +227,8 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, levels: int = LEVELS)
     one = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "source")).alias("at"), F.min("n").alias("n"), F.min("rare").alias("rare"))
     # the number of a node begins with its share of rare shingles, so the smallest number is the most central set
     number = F.col("rare").cast("bigint") * F.lit(1 << 55) + F.monotonically_increasing_id()
-    nodes = cut_lineage(one.select("d1", "d2", "least", F.col("at.doc_id").alias("doc"), F.col("at.source").alias("source"), "n", "rare")).withColumn("node", number)
+    # written with its number, which a second reading could give otherwise
+    nodes = cut_lineage(one.select("d1", "d2", "least", F.col("at.doc_id").alias("doc"), F.col("at.source").alias("source"), "n", "rare").withColumn("node", number))
     sizes = nodes.select("node", "n")
     keyed = rows.filter("n > 0").select("source", F.coalesce("doc_id", F.lit(-1)).alias("doc"), "prefix")
     chosen = keyed.join(nodes.select("node", "source", F.coalesce("doc", F.lit(-1)).alias("doc")), ["source", "doc"]).select("node", "prefix")
@@ -291,11 +292,9 @@ def crossing(members: DataFrame, measured: DataFrame, groups: DataFrame, sizes:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of every component (null ids last), with all columns; rows without words all stay.
-
-    ``docs`` must be a written table: its rows are numbered, and the numbers must be the same in every job.
-    """
-    own = docs.withColumn("__n", F.monotonically_increasing_id())
+    """The row with the smallest doc_id of every component (null ids last), with all columns; rows without words all stay."""
+    # written with their numbers, as another job may split the same files otherwise
+    own = cut_lineage(docs.withColumn("__n", F.monotonically_increasing_id()))
     parts = cut_lineage(jaccard_components(own.select(F.col("__n").alias("doc_id"), "text")).select(F.col("doc_id").alias("__n"), "component_id"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__n").alias("n"))
     first = parts.join(own.select("__n", "doc_id"), "__n").groupBy("component_id").agg(F.min(order).alias("first"))

@@ -137,6 +137,23 @@ def test_jaccard_chains_need_windows_and_rest(spark):
         assert got == {(d, c) for d, _, c in components(rows)}
 
 
+def test_row_numbers_stay_when_files_are_split_otherwise(spark, tmp_path, monkeypatch):
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.createDataFrame([(n, f"text {n // 2}") for n in range(24)], "doc_id bigint, text string").repartition(12, "doc_id").write.parquet(f"{tmp_path}/docs")
+
+    def by_text(docs):
+        out = jaccard.cut_lineage(docs.selectExpr("doc_id", "crc32(CAST(text AS binary)) AS component_id"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4200000")
+        return out
+
+    monkeypatch.setattr(jaccard, "jaccard_components", by_text)
+    try:
+        kept = jaccard.keep_one_of_each(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 24, 2))
+
+
 def test_fingerprints(spark, messy):
     rows = run(spark, "op5_imatch", messy)
     docs = docs_of(messy)
