@@ -34,7 +34,23 @@ def documents():
     return rows
 
 
-def write(folder, docs, labels, pages, vectors):
+def conversations():
+    rng = random.Random(3)
+    rows = []
+    for c in [*range(60), None]:
+        roles = (["system"] if rng.random() < 0.3 else []) + ["user", "assistant"] * rng.randrange(0, 5) + rng.choices(["user", "assistant", "system", "tool", "", None], k=rng.randrange(0, 3))
+        for t, role in enumerate(roles):
+            text = rng.choice([sentence(rng, 4) + rng.choice([".", "!", "? ", "", "\n"]), "Same text.", "", None, " \t", "Ü?\x0b", "no end"])
+            rows.append((c, None if rng.random() < 0.05 else t + 3 * (rng.random() < 0.1), role, text))
+    long = [(900, t, "user" if t % 2 == 0 else rng.choice(["assistant", "assistant", "user", "x"]), sentence(rng, 3) + rng.choice([".", ".", ".", ""])) for t in range(1500)]
+    rows += long + rows[:5] + [(901, 1, "user", "x" * 100_000), (901, 2, "assistant", "y" * 50_000 + ".")]
+    rng.shuffle(rows)
+    return rows
+
+
+def write(folder, docs, labels, pages, vectors, turns=()):
+    column = lambda i, kind: pa.array([t[i] for t in turns], kind)
+    pq.write_table(pa.table({"conv_id": column(0, pa.int64()), "turn": column(1, pa.int64()), "role": column(2, pa.string()), "text": column(3, pa.string()), "conv": pa.array(range(len(turns)), pa.int64()), "digest": pa.array(["clash"] * len(turns), pa.string())}), f"{folder}/conversations.parquet")
     ids, texts = [d[0] for d in docs], [d[1] for d in docs]
     n = len(docs)
     extra = {name: pa.array(range(n), pa.int64()) for name in ("node", "s", "n", "score", "key", "row", "length", "digest", "at", "b")}
@@ -56,7 +72,7 @@ def messy(tmp_path_factory):
     vec = lambda: [rng.randrange(-3, 4) / 4 for _ in range(6)]
     same = vec()
     vectors = [(i, vec()) for i in range(0, 400)] + [(i, same) for i in range(400, 520)] + [(3, vec()), (50, vec()), (None, vec()), (1000, None), (1001, [1.0, None] + [0.0] * 4), (1050, [float("nan")] + [0.0] * 5), (1100, [float("inf")] + [0.0] * 5)]
-    return write(tmp_path_factory.mktemp("messy"), docs, labels, pages, vectors)
+    return write(tmp_path_factory.mktemp("messy"), docs, labels, pages, vectors, conversations())
 
 
 @pytest.fixture(scope="session")

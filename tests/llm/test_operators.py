@@ -48,7 +48,7 @@ def test_empty_tables(spark, nothing, name):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle_on_messy_tables(spark, messy, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{messy}/{t}.parquet'")
     rel = con.execute(ORACLES[name])
     columns = [c[0] for c in rel.description]
