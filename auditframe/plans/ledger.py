@@ -638,15 +638,26 @@ def f8(spark, sf):
 # --- E: graphs -----------------------------------------------------------------------------------------------------
 
 
-@query("e1_cycle_witnesses")
-def e1(spark, sf):
-    return graph.cycle_witnesses(graph.dependency_edges(claims(spark, sf)))
-
-
 _LAST_DEPS = f"""SELECT d.ledger_id, d.claim_id AS src, d.dep AS dst FROM v_deps d JOIN (SELECT ledger_id, claim_id, max(pos) AS pos FROM v_claims GROUP BY ALL) l USING (ledger_id, claim_id, pos)
 WHERE regexp_matches(d.claim_id, {ID_RE}) AND EXISTS (SELECT 1 FROM {_IDS} i WHERE i.ledger_id = d.ledger_id AND i.claim_id = d.dep)"""
 
 
+@query("e1_cycle_witnesses", sql_with("v_claims", "v_deps", body=f"""
+WITH RECURSIVE e AS ({_LAST_DEPS}), walk AS (SELECT ledger_id, src, dst FROM e UNION SELECT w.ledger_id, w.src, e.dst FROM walk w JOIN e ON e.ledger_id = w.ledger_id AND e.src = w.dst),
+home AS (SELECT a.ledger_id, a.src AS node, min(a.dst) AS home FROM walk a JOIN walk b ON b.ledger_id = a.ledger_id AND b.src = a.dst AND b.dst = a.src GROUP BY ALL),
+inside AS (SELECT e.ledger_id, h.home, e.src, e.dst FROM e JOIN home h ON h.ledger_id = e.ledger_id AND h.node = e.src JOIN home g ON g.ledger_id = e.ledger_id AND g.node = e.dst AND g.home = h.home),
+size AS (SELECT ledger_id, home, count(*) AS n FROM home GROUP BY ALL),
+met AS (SELECT ledger_id, home, dst AS node, 1 AS length FROM inside WHERE src = home
+  UNION SELECT i.ledger_id, i.home, i.dst, m.length + 1 FROM met m JOIN inside i ON i.ledger_id = m.ledger_id AND i.home = m.home AND i.src = m.node JOIN size s ON s.ledger_id = m.ledger_id AND s.home = m.home WHERE m.node <> m.home AND m.length < s.n),
+short AS (SELECT ledger_id, home, node, min(length) AS length FROM met GROUP BY ALL),
+parent AS (SELECT s.ledger_id, s.home, s.node, s.length, min(i.src) AS src FROM short s JOIN inside i ON i.ledger_id = s.ledger_id AND i.home = s.home AND i.dst = s.node
+  LEFT JOIN short p ON p.ledger_id = i.ledger_id AND p.home = i.home AND p.node = i.src WHERE CASE WHEN i.src = s.home THEN s.length = 1 ELSE p.length = s.length - 1 END GROUP BY ALL),
+back AS (SELECT * FROM parent WHERE node = home UNION SELECT p.* FROM back b JOIN parent p ON p.ledger_id = b.ledger_id AND p.home = b.home AND p.node = b.src WHERE b.src <> b.home)
+SELECT ledger_id, 'V-004' AS rule_id, 'RELEASE_BLOCKING' AS severity, 'Dependency-cycle witness: ' || string_agg(src, ' -> ' ORDER BY length) || ' -> ' || home || '.' AS message, home AS claim_id FROM back GROUP BY ledger_id, home"""))
+def e1(spark, sf):
+    return graph.cycle_witnesses(graph.dependency_edges(claims(spark, sf)))
+
+
 @query("e2_cycle_members", sql_with("v_claims", "v_deps", body=f"""
 WITH RECURSIVE e AS ({_LAST_DEPS}), walk AS (SELECT ledger_id, src, dst FROM e UNION SELECT w.ledger_id, w.src, e.dst FROM walk w JOIN e ON e.ledger_id = w.ledger_id AND e.src = w.dst)
 SELECT DISTINCT ledger_id, src AS node FROM walk WHERE src = dst"""))

@@ -10,7 +10,7 @@ from auditframe.plans.contracts import DAY, TABLE_COLUMNS, contracts, export, re
 from auditframe.plans.ledger import whole_ledgers
 from auditframe.plans.registry import query
 from auditframe.plans.views import frame, remembered, sql_with, view
-from auditframe.session import scratch_path
+from auditframe.session import cut_lineage, scratch_path
 from auditframe.sources import delimited as dl, layout as ly
 from auditframe.sources.ledger import read_ledger
 
@@ -500,8 +500,8 @@ def d24(spark, sf):
 
 view("v_flow_nodes", "SELECT 'mod:' || CAST(s_suppkey AS STRING) AS id, 'module' AS kind FROM supplier UNION ALL SELECT 'obj:' || CAST(p_partkey AS STRING), 'object' FROM part")
 view("v_flow_edges", """
-SELECT DISTINCT 'mod:' || CAST(l_suppkey AS STRING) AS src, 'obj:' || CAST(l_partkey AS STRING) AS dst, 'PRODUCE' AS kind FROM lineitem WHERE l_linenumber = 1
-UNION ALL SELECT DISTINCT 'obj:' || CAST(l_partkey AS STRING), 'mod:' || CAST(l_suppkey AS STRING), 'READ' FROM lineitem WHERE l_linenumber = 2
+SELECT DISTINCT 'mod:' || CAST(l_suppkey AS STRING) AS src, 'obj:' || CAST(l_partkey AS STRING) AS dst, 'PRODUCE' AS kind FROM lineitem WHERE l_linenumber % 2 = 1
+UNION ALL SELECT DISTINCT 'obj:' || CAST(l_partkey AS STRING), 'mod:' || CAST(l_suppkey AS STRING), 'READ' FROM lineitem WHERE l_linenumber % 2 = 0
 """)
 view("v_alias", "SELECT 'mod:' || CAST(s_suppkey AS STRING) AS source, 'unit:' || CAST(s_suppkey AS STRING) AS target, CAST(1000000 - s_suppkey AS INT) AS ordinal FROM supplier WHERE s_suppkey % 3 <> 0")
 _REN = "coalesce((SELECT target FROM v_alias a WHERE a.source = {0}), {0})"
@@ -527,3 +527,33 @@ UNION ALL SELECT 'edge', src || ' ' || kind || ' ' || dst, 'source_only' FROM (S
 UNION ALL SELECT 'edge', src || ' ' || kind || ' ' || dst, 'target_only' FROM (SELECT src, dst, kind FROM v_target_edges EXCEPT SELECT * FROM se) y"""))
 def e6(spark, sf):
     return graph.graph_diff(frame(spark, sf, "v_flow_nodes"), frame(spark, sf, "v_flow_edges"), frame(spark, sf, "v_target_nodes"), frame(spark, sf, "v_target_edges"), frame(spark, sf, "v_alias"))
+
+
+# modules by year of the order: what a module makes in a year is read in the next one, so the flow has no cycle
+_SEASON = "JOIN orders ON o_orderkey = l_orderkey"
+view("v_season_edges", f"""
+SELECT DISTINCT 'mod:' || CAST(l_suppkey AS STRING) || ':' || CAST(year(o_orderdate) AS STRING) AS src, 'obj:' || CAST(l_partkey AS STRING) || ':' || CAST(year(o_orderdate) AS STRING) AS dst, 'PRODUCE' AS kind
+FROM lineitem {_SEASON} WHERE l_linenumber % 2 = 1
+UNION ALL SELECT DISTINCT 'obj:' || CAST(l_partkey AS STRING) || ':' || CAST(year(o_orderdate) AS STRING), 'mod:' || CAST(l_suppkey AS STRING) || ':' || CAST(year(o_orderdate) + 1 AS STRING), 'READ'
+FROM lineitem {_SEASON} WHERE l_linenumber % 2 = 0
+""")
+view("v_season_target", "SELECT src, dst, kind FROM v_season_edges WHERE NOT (kind = 'READ' AND src LIKE '%7:1996') UNION ALL SELECT 'obj:1:1999', 'mod:late:2000', 'READ' FROM region WHERE r_regionkey = 0", "v_season_edges")
+_ENDS = "(SELECT src AS id FROM {0} UNION SELECT dst FROM {0})"
+
+
+def _depth_sql(table: str) -> str:
+    return f"""(WITH RECURSIVE p AS (SELECT DISTINCT dst AS node, 1 AS depth FROM {table} UNION SELECT e.dst, p.depth + 1 FROM p JOIN {table} e ON e.src = p.node) SELECT max(depth) FROM p)"""
+
+
+def _side_sql(side: str, own: str, other: str) -> str:
+    return f"""SELECT '{side}' AS side, (SELECT count(*) FROM {_ENDS.format(own)} x) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT src, dst, kind FROM {own}) x) AS edges, {_depth_sql(own)} AS depth,
+(SELECT count(*) FROM (SELECT id FROM {_ENDS.format(own)} x EXCEPT SELECT id FROM {_ENDS.format(other)} y) z) AS nodes_alone, (SELECT count(*) FROM (SELECT src, dst, kind FROM {own} EXCEPT SELECT src, dst, kind FROM {other}) z) AS edges_alone"""
+
+
+@query("e6_graph_sizes", sql_with("v_season_edges", "v_season_target", body=f"{_side_sql('source', 'v_season_edges', 'v_season_target')} UNION ALL {_side_sql('target', 'v_season_target', 'v_season_edges')}"))
+def e6b(spark, sf):
+    sides = {side: frame(spark, sf, name).distinct() for side, name in (("source", "v_season_edges"), ("target", "v_season_target"))}
+    nodes = {side: e.select(F.col("src").alias("id")).union(e.select("dst")).distinct() for side, e in sides.items()}
+    alias = frame(spark, sf, "v_alias").limit(0)
+    diff = cut_lineage(graph.graph_diff(nodes["source"], sides["source"], nodes["target"], sides["target"], alias))
+    return graph.graph_sizes(nodes["source"], sides["source"], diff, "source").unionByName(graph.graph_sizes(nodes["target"], sides["target"], diff, "target"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditframe.operators import graph
+from auditframe.operators.contraction import longest_path
 from auditframe.plans.validate import validate_ledgers
 from auditframe.sources.ledger import ledger_state
 
@@ -89,51 +90,75 @@ def test_cases(spark):
 
 
 def witnesses(edges):
-    """Recursive model of the ordered walk, for small graphs."""
-    out, state = set(), {}
-    nodes = sorted({x for e in edges for x in e})
-    targets = {n: sorted({d for s, d in edges if s == n}) for n in nodes}
-
-    def walk(node, path):
-        state[node] = "open"
-        for t in targets[node]:
-            if t not in state:
-                walk(t, path + [t])
-            elif state[t] == "open":
-                body = path[path.index(t):]
-                i = body.index(min(body))
-                out.add(" -> ".join(body[i:] + body[:i] + [body[i]]))
-        state[node] = "done"
-
-    for n in nodes:
-        if n not in state:
-            walk(n, [n])
+    """Model: in every strongly connected set the shortest closed walk through its smallest node, by the smallest node before each."""
+    closed, out = closure(edges), set()
+    for home in {min(b for b, d in closed if d == a and (a, b) in closed) for a, x in closed if a == x}:
+        inside = {n for n, d in closed if d == home and (home, n) in closed}
+        length, now = {}, {home}
+        while home not in length:
+            step = {d for s, d in edges if s in now and d in inside and d not in length}
+            length |= dict.fromkeys(step, len(set(length.values())) + 1)
+            now = step
+        node, walk = home, [home]
+        while node != home or len(walk) == 1:
+            node = min(s for s, d in edges if d == node and s in inside and (length[node] == 1 if s == home else length.get(s) == length[node] - 1))
+            walk.append(node)
+        out.add(" -> ".join(reversed(walk)))
     return out
 
 
-def members(edges):
+def closure(edges):
     reach = set(edges)
     while True:
         more = reach | {(a, d) for a, b in reach for c, d in edges if b == c}
         if more == reach:
-            return {a for a, b in reach if a == b}
+            return reach
         reach = more
 
 
-@pytest.mark.parametrize("limit", [graph.LOCAL_EDGES, 0])
-def test_cycles_against_models(spark, limit):
+def members(edges):
+    return {a for a, b in closure(edges) if a == b}
+
+
+EDGES = "ledger_id string, src string, dst string"
+
+
+def test_cycles_against_models(spark):
     rng = random.Random(3)
-    graphs = {f"L{g}": {(f"n{rng.randrange(12):02d}", f"n{rng.randrange(12):02d}") for _ in range(rng.randrange(4, 18))} for g in range(8)}
-    graphs["chain"] = {(f"n{i:04d}", f"n{i + 1:04d}") for i in range(300 if limit else 10)}
-    rows = [(g, s, d) for g, edges in graphs.items() for s, d in edges]
-    df = spark.createDataFrame(rows, "ledger_id string, src string, dst string")
-    got = {(r[0], r[1]) for r in graph.cycle_members(df, limit).collect()}
-    assert got == {(g, m) for g, edges in graphs.items() if g != "chain" for m in members(edges)}
-    if limit:
-        found = graph.cycle_witnesses(df, limit).select("ledger_id", F.regexp_extract("message", "witness: (.*)\\.", 1)).collect()
-        assert {(r[0], r[1]) for r in found} == {(g, w) for g, edges in graphs.items() if g != "chain" for w in witnesses(edges)}
-
-
-def test_depth(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "src string, dst string")
-    assert graph.graph_depth(edges) == 3
+    graphs = {f"L{g:02d}": {(f"n{rng.randrange(12):02d}", f"n{rng.randrange(12):02d}") for _ in range(rng.randrange(4, 18))} for g in range(24)}
+    ring = [f"r{i:02d}" for i in range(20)]
+    graphs["chained"] = set(zip(ring, ring[1:] + ring[:1])) | {("r05", "t1"), ("t1", "t2"), ("t2", "r05"), ("a0", "r03"), ("r10", "z0"), ("z0", "z1"), ("r07", "s1"), ("s1", "s2"), ("s2", "r09"), ("r07", "q1"), ("q1", "r09")}
+    graphs["loops"] = {("a", "a"), ("b", "c"), ("c", "b"), ("c", "c"), ("c", "d")}
+    df = spark.createDataFrame([(g, s, d) for g, edges in graphs.items() for s, d in edges] + [("loops", "a", "a")], EDGES)
+    assert {(r[0], r[1]) for r in graph.cycle_members(df).collect()} == {(g, m) for g, edges in graphs.items() for m in members(edges)}
+    found = graph.cycle_witnesses(df).select("ledger_id", F.regexp_extract("message", "witness: (.*)\\.", 1)).collect()
+    assert sorted((r[0], r[1]) for r in found) == sorted((g, w) for g, edges in graphs.items() for w in witnesses(edges))
+    assert graph.cycle_witnesses(df.limit(0)).count() == 0
+
+
+def test_deep_graphs_take_few_rounds(spark):
+    n = 3000
+    name = lambda i: f"n{i:04d}"
+    deep = spark.createDataFrame([("chain", name(i), name(i + 1)) for i in range(n)] + [("ring", name(i), name((i + 1) % n)) for i in range(n)], EDGES)
+    assert {r["ledger_id"] for r in graph.cycle_members(deep).collect()} == {"ring"}
+    (row,) = graph.cycle_witnesses(deep).collect()
+    assert row["message"] == "Dependency-cycle witness: " + " -> ".join(name(i % n) for i in range(n + 1)) + "."
+    seeds = spark.createDataFrame([("chain", name(5)), ("ring", name(7))], "ledger_id string, node string")
+    assert {r["ledger_id"]: r["count"] for r in graph.reach(deep, seeds).groupBy("ledger_id").count().collect()} == {"chain": n - 4, "ring": n}
+    assert longest_path(deep.filter("ledger_id = 'chain'")) == n and longest_path(deep) is None
+
+
+def test_reach_against_a_model(spark):
+    rng = random.Random(5)
+    edges = {(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(45)} | {(f"c{i:02d}", f"c{i + 1:02d}") for i in range(40)} | {("c12", "n01"), ("n02", "c00"), ("c40", "c20")}
+    df = spark.createDataFrame([("L", s, d) for s, d in edges], EDGES)
+    for seeds in (["c00"], ["n05", "c33"], ["nowhere"]):
+        want = set(seeds) | {d for s, d in closure(edges) if s in seeds}
+        got = graph.reach(df, spark.createDataFrame([("L", x) for x in seeds], "ledger_id string, node string")).collect()
+        assert sorted(r["node"] for r in got) == sorted(want)
+
+
+def test_longest_path(spark):
+    rows = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "c"), ("d", "e"), ("y", "x"), ("z", "y"), ("q", "z")]
+    assert longest_path(spark.createDataFrame([("", *r) for r in rows], EDGES)) == 6
+    assert longest_path(spark.createDataFrame([], EDGES)) == 0
