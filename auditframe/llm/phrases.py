@@ -4,10 +4,10 @@ Every word of a piece of text opens one window of up to ``LONGEST`` words (its l
 windows are counted; ROLLUP sums them over successively shorter prefixes, so the count of a shorter phrase is the sum over
 the windows that begin with it, and no n-gram of another length is ever spread out.
 
-Most windows occur once and would all cross the network.  So a window is padded from the first pair of neighbours on that occurs fewer
-than ``LEAST`` times: no phrase beyond such a pair can be a candidate, lie in one, or be cut from one, and all
-shorter prefixes keep their counts.  Which pairs are that rare is told by counts over hash cells: never too low, so no candidate is
-lost, and where cells are shared a rare pair is merely not padded away.  Cells are counted range by range in arrays of fixed size,
+Most windows occur once and would all cross the network.  So a window is padded from the first word or pair of neighbours on that occurs
+fewer than ``LEAST`` times: no phrase beyond it can be a candidate, lie in one, or be cut from one, and all shorter prefixes
+keep their counts.  What is that rare is told by counts over hash cells: never too low, so no candidate is lost, and where
+cells are shared something rare is merely not padded away.  Cells are counted range by range in arrays of fixed size,
 with ranges in proportion to the input's partitions; what is sent to every task is one bitmap of ``BITS`` bits, whatever the input.
 
 Null texts are empty ones, a null lang counts as ``und``; repeated rows all count, doc_id is not used.  Ties of equal score and count go
@@ -94,8 +94,8 @@ class _Lang:
     def clear(self) -> None:
         self.codes, self.hash, self.parts, self.held = _Codes({b"\xff": 0}), np.zeros(1, np.uint64), [], 0
 
-    def pairs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the words, and a hash of every word with the next (0 where either is a break)."""
+    def starts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the words, and hashes of every word and of it with the next (0 where that is a break)."""
         code = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         fresh = [xxhash.xxh3_64_intdigest(w, self.seed) for w in itertools.islice(self.codes, len(self.hash), None)]
         self.hash = np.concatenate([self.hash, np.array(fresh, np.uint64)])
@@ -105,17 +105,17 @@ class _Lang:
         x = (x ^ (x >> np.uint64(29))) * _ODD[2]
         x ^= x >> np.uint64(32)
         mixed[:-1] = np.where((code[:-1] > 0) & (code[1:] > 0), x | np.uint64(1), np.uint64(0))
-        return code, mixed
+        return code, h, mixed
 
     def full(self) -> bool:
         return self.held > HELD or len(self.codes) > WORDS
 
 
-# ---------------------------------------------------------------- pairs that are frequent enough
+# ---------------------------------------------------------------- words and pairs that are frequent enough
 
 
-def frequent_pairs(docs: DataFrame, least: int = LEAST) -> bytes:
-    """Bitmap over pair hashes: a pair that occurs ``least`` times or more in its language has its bit set."""
+def frequent_starts(docs: DataFrame, least: int = LEAST) -> bytes:
+    """Bitmap over hashes: a word, or pair of neighbours, that occurs ``least`` times or more in its language has its bit set."""
     tasks = max(1, docs.rdd.getNumPartitions())
     range_bits = min(12, max(6, tasks.bit_length()))
     local = BITS - range_bits
@@ -133,9 +133,9 @@ def frequent_pairs(docs: DataFrame, least: int = LEAST) -> bytes:
         hashes, held = [np.zeros(0, np.uint64)], 0
         for lang, words, own in _words(batches):
             state = langs.setdefault(lang, _Lang(lang))
-            mixed = state.pairs(words)[1][:own]
-            hashes.append(mixed[mixed > 0])
-            held += len(hashes[-1])
+            for found in state.starts(words)[1:]:
+                hashes.append(found[:own][found[:own] > 0])
+                held += len(hashes[-1])
             if held > HELD:
                 yield rows(hashes)
                 hashes, held = [np.zeros(0, np.uint64)], 0
@@ -193,15 +193,18 @@ def longest_windows(docs: DataFrame, bitmap: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *columns, pa.array(n[part], pa.int64())], names=["lang", *names, "n"])
         state.clear()
 
+    def is_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - BITS)
+        return (h > 0) & (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         langs: dict[str, _Lang] = {}
         for lang, words, own in _words(batches):
             state = langs.setdefault(lang, _Lang(lang))
-            code, mixed = state.pairs(words)
-            at = mixed >> np.uint64(64 - BITS)
-            goes_on = (mixed > 0) & (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            window, alive = [code], goes_on
+            code, single, pair = state.starts(words)
+            common, goes_on = is_set(bits, single), is_set(bits, pair)
+            window, alive = [np.where(common, code, 0)], goes_on & common
             for k in range(1, LONGEST):  # lead columns, padded from the first break or rare pair on
                 lead = np.concatenate([code[k:], np.zeros(min(k, len(code)), np.int64)])
                 window.append(np.where(alive, lead, 0))
@@ -223,7 +226,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, words, phrase, f): all phrases of 1 to ``LONGEST`` words that occur ``least`` times, and one row of 0 words with the language's words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter(F.length("text") > 0)
     names = [f"w{k + 1}" for k in range(LONGEST)]
-    summed = longest_windows(texts, frequent_pairs(texts, least)).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("missing"))
+    windows = longest_windows(texts, frequent_starts(texts, least)).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    summed = cut_lineage(windows).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("missing"))
     words = F.lit(LONGEST) - F.bit_count("missing")
     # a window that is padded before the prefix ends does not hold such a phrase
     whole = (words == 0) | F.element_at(F.array(*names), F.greatest(words, F.lit(1))).isNotNull()
