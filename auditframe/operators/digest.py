@@ -1,27 +1,21 @@
 """Canonical order, digests, probes and coverage of result tables.
 
-A column digest is a hash over the whole column in canonical order, so it is sequential by definition; columns hash in
-parallel, each in one streaming task with constant memory.  That is allowed up to ``SEQUENTIAL_ROWS`` rows.  Longer
-tables get block digests: fixed-size blocks are hashed in parallel and their hashes are hashed level by level.  Both
-carry their canonicalisation name, so they are never taken for one another; two tables on different sides of the limit
-differ in their row count anyway.
+A digest is a hash tree over items in canonical order: while there are more than ``BLOCK_ROWS`` items, every ``BLOCK_ROWS`` of them are replaced by
+the SHA-256 of their lines; the digest is the SHA-256 of a head and the lines that are left.  The items are a column's cells, a
+keyed entry's cells or a keyed list's lines.  The definition is the same at every size: blocks are hashed in parallel, no group
+holds more than ``BLOCK_ROWS`` items, and what fits into one block has the digest of its plain lines.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from auditframe.functions.canonical import CANONICALISATION, canonical_cell, canonical_number, kind_of
-from auditframe.operators.ordering import with_positions
+from auditframe.functions.canonical import CANONICALISATION as CELLS, canonical_cell, canonical_number, kind_of
+from auditframe.operators.ordering import rank_within, with_positions
 from auditframe.session import cut_lineage
 
-SEQUENTIAL_ROWS = 20_000_000
 BLOCK_ROWS = 10_000
-BLOCK_CANONICALISATION = "dec9-half-even-v1/blocks-{rows}"
+CANONICALISATION = f"{CELLS}/blocks-{BLOCK_ROWS}"
 
 # an order key is a column name, or (column name, "asc" | "desc")
 OrderKey = str | tuple[str, str]
@@ -57,53 +51,49 @@ def canonical_table(df: DataFrame, columns: list[str] | None = None, keep: list[
     return df.select(*[F.col(k) for k in keep or []], *texts)
 
 
-def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash runs of rows with equal (entry, column); rows arrive sorted, only one hash state is held."""
-    current, state = None, None
-    done: dict[str, list] = {"entry": [], "column": [], "rows": [], "digest": []}
-
-    def close() -> None:
-        if current is not None:
-            for name, value in zip(("entry", "column", "rows"), current):
-                done[name].append(value)
-            done["digest"].append(state.hexdigest())
-
-    for batch in batches:
-        entries, columns = batch.column("entry").to_pylist(), batch.column("column").to_pylist()
-        counts, texts = batch.column("rows").to_pylist(), batch.column("text").to_pylist()
-        start = 0
-        for i in range(1, len(texts) + 1):
-            if i < len(texts) and entries[i] == entries[start] and columns[i] == columns[start]:
-                continue
-            key = (entries[start], columns[start], counts[start])
-            if key != current:
-                close()
-                current, state = key, hashlib.sha256(f"col\n{key[1]}\n{key[2]}".encode())
-            state.update(("\n" + "\n".join(texts[start:i])).encode())
-            start = i
-    close()
-    yield pa.RecordBatch.from_pydict(done, schema=pa.schema([("entry", pa.string()), ("column", pa.string()), ("rows", pa.int64()), ("digest", pa.string())]))
-
-
-def _sequential(df: DataFrame, keys: list[OrderKey], columns: list[str], entry: Column, counts: DataFrame) -> DataFrame:
-    """(entry, column, rows, digest); ``counts`` holds (entry, rows)."""
-    names = _names(keys)
-    texts = canonical_table(df.withColumn("entry", entry), columns, ["entry", *names])
-    melted = texts.select(
-        "entry", *names, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c__{c}").alias("text")) for c in columns])).alias("x")
-    ).select("entry", *names, "x.column", "x.text")
-    ready = melted.join(counts, "entry").repartition("entry", "column")
-    ordered = ready.sortWithinPartitions("entry", "column", *order_columns(keys)).select("entry", "column", "rows", "text")
-    return ordered.mapInArrow(_stream_digests, "entry string, column string, rows bigint, digest string")
-
-
-def column_digests(df: DataFrame, keys: list[OrderKey], limit: int = SEQUENTIAL_ROWS) -> DataFrame:
-    """(column, rows, digest) per column, columns hashed in canonical row order."""
-    rows = df.count()
-    if rows > limit:
-        raise ValueError(f"{rows} rows exceed the sequential limit of {limit}; use block_digests")
-    counts = df.sparkSession.range(1).select(F.lit("").alias("entry"), F.lit(rows).cast("bigint").alias("rows"))
-    return _sequential(df, keys, df.columns, F.lit(""), counts).select("column", "rows", "digest")
+def _hashed(lines: Column, head: Column, whole: Column) -> Column:
+    """Hash of lines, behind the head where they are all that is left."""
+    text = F.array_join(lines, "\n")
+    return F.sha2(F.when(whole, F.concat_ws("\n", head, text)).otherwise(text), 256)
+
+
+def _root(level: DataFrame, by: list[str], head: Column, block_rows: int) -> DataFrame:
+    """(by, rows, digest) of hashed blocks (by, block, rows, items, digest), whatever their number; ``items`` counts the blocks of a tree."""
+    done = []
+    while True:
+        level = cut_lineage(level)
+        done.append(level.filter("items = 1").select(*by, "rows", "digest"))
+        level = level.filter("items > 1")
+        if level.isEmpty():
+            out = done[0]
+            for more in done[1:]:
+                out = out.unionByName(more)
+            return out
+        grouped = level.groupBy(*by, "rows", "items", F.floor(F.col("block") / block_rows).alias("up")).agg(F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("x"))
+        level = grouped.select(*by, F.col("up").alias("block"), "rows", F.ceil(F.col("items") / block_rows).alias("items"), _hashed(F.col("x.digest"), head, F.col("items") <= block_rows).alias("digest"))
+
+
+def tree_digests(df: DataFrame, keys: list[OrderKey], columns: list[str], entry: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(entry, column, rows, digest) of every column, each entry as a table of its own."""
+    base = df.withColumn("__entry", F.lit("") if entry is None else entry)
+    if entry is None:
+        placed = with_positions(base, order_columns(keys), total="__rows")
+    else:
+        placed = rank_within(base, ["__entry"], order_columns(keys), "position")
+        placed = placed.join(base.groupBy("__entry").agg(F.count("*").alias("__rows")), "__entry")
+    texts = canonical_table(placed, columns, ["__entry", "__rows", "position"])
+    block = F.floor((F.col("position") - 1) / block_rows).alias("block")
+    blocks = texts.groupBy("__entry", "__rows", block).agg(F.array_sort(F.collect_list(F.struct("position", *[f"c__{c}" for c in columns]))).alias("x"))
+    head = lambda name: F.concat_ws("\n", F.lit("col"), name, F.col("rows").cast("string"))
+    blocks = blocks.withColumnRenamed("__rows", "rows")
+    cells = [F.struct(F.lit(c).alias("column"), _hashed(F.col(f"x.c__{c}"), head(F.lit(c)), F.col("rows") <= block_rows).alias("digest")) for c in columns]
+    hashed = blocks.select(F.col("__entry").alias("entry"), "block", "rows", F.ceil(F.col("rows") / block_rows).alias("items"), F.explode(F.array(*cells)).alias("h"))
+    return _root(hashed.select("entry", "block", "rows", "items", "h.*"), ["entry", "column"], head(F.col("column")), block_rows)
+
+
+def column_digests(df: DataFrame, keys: list[OrderKey], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(column, rows, digest) per column, cells in canonical row order."""
+    return tree_digests(df, keys, df.columns, None, block_rows).select("column", "rows", "digest")
 
 
 def _object_text(kind: str, columns: list[str], digests: Column) -> Column:
@@ -118,52 +108,30 @@ def _objects(digests: DataFrame, columns: list[str], kind: str, by: list[str]) -
     return grouped.select(*by, "rows", F.lit(len(columns)).alias("cols"), F.sha2(_object_text(kind, columns, F.col("d")), 256).alias("digest"))
 
 
-def object_digest(df: DataFrame, keys: list[OrderKey], kind: str = "frame", limit: int = SEQUENTIAL_ROWS) -> DataFrame:
+def object_digest(df: DataFrame, keys: list[OrderKey], kind: str = "frame") -> DataFrame:
     """One row: rows, cols, digest and the canonicalisation it was made under."""
-    return _objects(column_digests(df, keys, limit), df.columns, kind, []).withColumn("canonicalisation", F.lit(CANONICALISATION))
+    return _objects(column_digests(df, keys), df.columns, kind, []).withColumn("canonicalisation", F.lit(CANONICALISATION))
 
 
-def keyed_digests(df: DataFrame, key: str, keys: list[OrderKey], columns: list[str] | None = None, limit: int = SEQUENTIAL_ROWS) -> DataFrame:
+def keyed_digests(df: DataFrame, key: str, keys: list[OrderKey], columns: list[str] | None = None) -> DataFrame:
     """(entry, rows, cols, digest): one object per key value, as if each were a table of its own."""
     columns = columns or [c for c in df.columns if c != key]
-    entry = F.col(key).cast("string")
-    counts = df.groupBy(entry.alias("entry")).agg(F.count("*").alias("rows"))
-    largest = counts.agg(F.max("rows")).first()[0]
-    if largest is not None and largest > limit:
-        raise ValueError(f"an entry of {largest} rows exceeds the sequential limit of {limit}; use block_digests")
-    return _objects(_sequential(df, keys, columns, entry, counts), columns, "frame", ["entry"])
+    return _objects(tree_digests(df, keys, columns, F.col(key).cast("string")), columns, "frame", ["entry"])
 
 
-def keyed_list_digest(entries: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
-    """Digest of a keyed list: ``key=<entry digest>`` lines in bytewise key order; the number of keys is checked."""
-    keys = entries.count()
-    if keys > limit:
-        raise ValueError(f"{keys} keys exceed {limit}; a keyed list is meant for few entries")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("entry", "digest"))), lambda e: F.concat(e["entry"], F.lit("="), e["digest"]))
-    return entries.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.count("*").alias("entries"))
+def keyed_list_digest(entries: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(digest, entries) of a keyed list: ``key=<entry digest>`` lines in bytewise key order, any number of keys."""
+    placed = with_positions(entries.select("entry", "digest"), [F.col("entry")], total="rows")
+    line = F.concat("entry", F.lit("="), "digest")
+    blocks = placed.groupBy("rows", F.floor((F.col("position") - 1) / block_rows).alias("block")).agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("x"))
+    nothing = F.lit(None).cast("string")  # a list has no head
+    hashed = blocks.select("block", "rows", F.ceil(F.col("rows") / block_rows).alias("items"), _hashed(F.col("x.line"), nothing, F.lit(False)).alias("digest"))
+    return _root(hashed, [], nothing, block_rows).select("digest", F.col("rows").alias("entries"))
 
 
 def block_digests(df: DataFrame, keys: list[OrderKey], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(column, rows, digest, canonicalisation) with every step parallel; groups never exceed ``block_rows`` rows."""
-    placed = canonical_order(df, keys)
-    texts = canonical_table(placed, df.columns, ["position"])
-    block = F.floor((F.col("position") - 1) / block_rows)
-    cells = F.struct("position", *[f"c__{c}" for c in df.columns])
-    rows = texts.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(cells)).alias("x"), F.max("position").alias("rows"))
-    hashes = rows.select(
-        "block", "rows",
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.sha2(F.array_join(F.col(f"x.c__{c}"), "\n"), 256).alias("digest")) for c in df.columns])).alias("h"),
-    ).select("h.column", "block", "rows", "h.digest")
-    level = cut_lineage(hashes)
-    while level.agg(F.max("block")).first()[0]:
-        up = level.groupBy("column", F.floor(F.col("block") / block_rows).alias("block")).agg(
-            F.max("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("x")
-        )
-        level = cut_lineage(up.select("column", "block", "rows", F.sha2(F.array_join("x.digest", "\n"), 256).alias("digest")))
-    head = F.concat_ws("\n", F.lit("col"), F.col("column"), F.col("rows").cast("string"), F.col("digest"))
-    return level.select(
-        "column", "rows", F.sha2(head, 256).alias("digest"), F.lit(BLOCK_CANONICALISATION.format(rows=block_rows)).alias("canonicalisation")
-    )
+    """(column, rows, digest, canonicalisation) with blocks of another size."""
+    return column_digests(df, keys, block_rows).withColumn("canonicalisation", F.lit(f"{CELLS}/blocks-{block_rows}"))
 
 
 def probes(df: DataFrame, keys: list[OrderKey]) -> DataFrame:
@@ -206,16 +174,10 @@ def coverage(df: DataFrame) -> DataFrame:
     )
 
 
-def checkpoint(df: DataFrame, name: str, keys: list[OrderKey], inputs: DataFrame, unit: str = "U01", limit: int = SEQUENTIAL_ROWS) -> DataFrame:
+def checkpoint(df: DataFrame, name: str, keys: list[OrderKey], inputs: DataFrame, unit: str = "U01") -> DataFrame:
     """One row describing a result table: shape, order, digest, coverage, probes and the inputs it was made from."""
     df = cut_lineage(df)
-    if df.count() > limit:
-        long = block_digests(df, keys)
-        body = _objects(long.select("column", "rows", "digest"), df.columns, "frame", []).withColumn(
-            "canonicalisation", F.lit(BLOCK_CANONICALISATION.format(rows=BLOCK_ROWS))
-        )
-    else:
-        body = object_digest(df, keys, limit=limit)
+    body = object_digest(df, keys)
     cover = coverage(df).select(F.struct("*").alias("coverage")).scalar()
     found = probes(df, keys).agg(F.array_sort(F.collect_list(F.struct("selection_rule", F.to_json("fields").alias("fields")))).alias("p")).scalar()
     bound = inputs.agg(F.array_sort(F.collect_list(F.struct("name", "bytes", "sha256"))).alias("i")).scalar()

@@ -64,9 +64,10 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
     return ends.select(((F.col("a") + F.col("b")) / 2).alias("median"), F.coalesce("values", F.lit(0)).cast("bigint").alias("values"))
 
 
-def rank_within(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+def rank_within(df: DataFrame, groups: list[str], order: list[str | Column], name: str) -> DataFrame:
     """Add the 1-based rank of each row inside its group, for groups of any size (no per-group sort in one task)."""
-    placed = with_positions(df, [F.col(c).asc_nulls_last() for c in [*groups, *order]], "__position")
+    columns = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in [*groups, *order]]
+    placed = with_positions(df, columns, "__position")
     starts = placed.groupBy(*groups).agg(F.min("__position").alias("__start"))
     ranked = placed.join(starts, groups)
     return ranked.select(*df.columns, (F.col("__position") - F.col("__start") + 1).cast("bigint").alias(name))

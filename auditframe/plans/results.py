@@ -29,11 +29,14 @@ _TEXT = {
 _ORDER = "id NULLS LAST, row_index"
 
 
-def _column_sql(where: str = "", by: str = "") -> str:
-    group = f" GROUP BY {by}" if by else ""
+def _column_sql(by: str = "", block: int = dg.BLOCK_ROWS) -> str:
+    """Columns as hash trees of two levels at most: enough for block * block rows."""
+    part = f"PARTITION BY {by} " if by else ""
     lead = f"{by}, " if by else ""
+    placed = f"(SELECT *, row_number() OVER ({part}ORDER BY {_ORDER}) - 1 AS p, count(*) OVER ({part}) AS n FROM s_small)"
     return "\nUNION ALL ".join(
-        f"SELECT {lead}{i} AS ord, '{c}' AS \"column\", count(*) AS rows, sha256('col' || chr(10) || '{c}' || chr(10) || CAST(count(*) AS VARCHAR) || chr(10) || string_agg({_TEXT[c]}, chr(10) ORDER BY {_ORDER})) AS digest FROM s_small{where}{group}"
+        f"""SELECT {lead}{i} AS ord, '{c}' AS "column", n AS rows, sha256('col' || chr(10) || '{c}' || chr(10) || CAST(n AS VARCHAR) || chr(10) || string_agg(h, chr(10) ORDER BY b)) AS digest FROM (
+  SELECT {lead}n, p // {block} AS b, CASE WHEN n <= {block} THEN string_agg({_TEXT[c]}, chr(10) ORDER BY p) ELSE sha256(string_agg({_TEXT[c]}, chr(10) ORDER BY p)) END AS h FROM {placed} x GROUP BY {lead}n, p // {block}) y GROUP BY {lead}n"""
         for i, c in enumerate(_COLS) if c != by
     )
 
@@ -42,7 +45,7 @@ def _object_sql(by: str = "") -> str:
     n = len(_COLS) - (1 if by else 0)
     group = f" GROUP BY {by}" if by else ""
     lead = f"{by} AS entry, " if by else ""
-    return f"""SELECT {lead}min(rows) AS rows, {n} AS cols, sha256('obj' || chr(10) || 'frame' || chr(10) || CAST(min(rows) AS VARCHAR) || chr(10) || '{n}' || chr(10) || string_agg("column" || '=' || digest, chr(10) ORDER BY ord)) AS digest FROM ({_column_sql(by=by)}) c{group}"""
+    return f"""SELECT {lead}min(rows) AS rows, {n} AS cols, sha256('obj' || chr(10) || 'frame' || chr(10) || CAST(min(rows) AS VARCHAR) || chr(10) || '{n}' || chr(10) || string_agg("column" || '=' || digest, chr(10) ORDER BY ord)) AS digest FROM ({_column_sql(by)}) c{group}"""
 
 
 def small(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +72,7 @@ def k3b(spark, sf):
     return dg.column_digests(record(spark, sf), KEYS)
 
 
-@query("k4_object_digest", sql_with("s_small", body=f"SELECT *, 'dec9-half-even-v1' AS canonicalisation FROM ({_object_sql()}) x"))
+@query("k4_object_digest", sql_with("s_small", body=f"SELECT *, '{dg.CANONICALISATION}' AS canonicalisation FROM ({_object_sql()}) x"))
 def k4(spark, sf):
     return dg.object_digest(small(spark, sf), KEYS)
 
@@ -100,21 +103,33 @@ def k7(spark, sf):
     return dg.coverage(small(spark, sf))
 
 
-@query("k8_checkpoint")
+view("v_inputs", "SELECT n_name AS name, n_name || ',' || CAST(n_nationkey AS STRING) || ',' || CAST(n_regionkey AS STRING) AS content FROM nation")
+_FIRST = ", ".join(f"{c} := {_TEXT[c]}" for c in _COLS)
+
+
+@query("k8_checkpoint", sql_with("s_small", "v_inputs", body=f"""
+SELECT 'U01' AS unit, 'orders_view' AS name, 'frame' AS kind, o.rows, o.cols, '{",".join(_COLS)}' AS colnames, 'id asc,row_index asc' AS canonical_order, 'SHA-256 {dg.CANONICALISATION} ' || o.digest AS digest,
+  (SELECT CAST(count(*) AS VARCHAR) || ' {len(_COLS)} ' || CAST(count(*) FILTER (id IS NULL) + count(*) FILTER (flag IS NULL) AS VARCHAR) || ' ' || CASE WHEN least(min(row_index), min(price)) = 0 THEN '0.00000000e+00' ELSE printf('%.8e', least(min(row_index), min(price))) END || ' ' || printf('%.8e', greatest(max(row_index), max(price))) FROM s_small) AS coverage,
+  (SELECT string_agg(selection_rule || ' ' || CAST(to_json(struct_pack({_FIRST})) AS VARCHAR), ' ' ORDER BY selection_rule) FROM (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS p, count(*) OVER () AS n FROM s_small) a
+    JOIN (VALUES ('index:1'), ('index:ceil(n/2)'), ('index:n')) r(selection_rule) ON p = CASE selection_rule WHEN 'index:1' THEN 1 WHEN 'index:n' THEN n ELSE CAST(ceil(n / 2) AS BIGINT) END) AS probes,
+  (SELECT string_agg(name || ' ' || CAST(strlen(content) AS VARCHAR) || ' ' || sha256(content), ' ' ORDER BY name) FROM v_inputs) AS inputs
+FROM ({_object_sql()}) o"""))
 def k8(spark, sf):
-    inputs = dl.bind_inputs(spark, f"{sf}/orders.parquet")
+    content = F.encode("content", "UTF-8")
+    inputs = frame(spark, sf, "v_inputs").select("name", F.octet_length(content).cast("bigint").alias("bytes"), F.sha2(content, 256).alias("sha256"))
     row = dg.checkpoint(small(spark, sf), "orders_view", KEYS, inputs)
-    return row.select("unit", "name", "kind", "rows", "cols", F.to_json("digest").alias("digest"), F.to_json("coverage").alias("coverage"), F.to_json("probes").alias("probes"), F.to_json("inputs").alias("inputs"))
+    listed = lambda column, *names: F.array_join(F.transform(column, lambda x: F.concat_ws(" ", *[x[n].cast("string") for n in names])), " ")
+    return row.select(
+        "unit", "name", "kind", "rows", "cols", F.array_join("colnames", ",").alias("colnames"), F.array_join(F.transform("canonical_order", lambda k: F.concat_ws(" ", k["column"], k["direction"])), ",").alias("canonical_order"),
+        F.concat_ws(" ", "digest.algorithm", "digest.canonicalisation", "digest.value").alias("digest"), F.concat_ws(" ", *[F.col(f"coverage.{c}").cast("string") for c in ("row_count", "field_count", "null_count", "min", "max")]).alias("coverage"),
+        listed("probes", "selection_rule", "fields").alias("probes"), listed("inputs", "name", "bytes", "sha256").alias("inputs"),
+    )
 
 
 _BLOCK = 1000
 
 
-@query("k9_block_digests", sql_with("s_small", body="\nUNION ALL ".join(f"""
-SELECT '{c}' AS "column", rows, sha256('col' || chr(10) || '{c}' || chr(10) || CAST(rows AS VARCHAR) || chr(10) || top) AS digest, 'dec9-half-even-v1/blocks-{_BLOCK}' AS canonicalisation FROM (
-  SELECT max(rows) AS rows, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, chr(10) ORDER BY b)) END AS top FROM (
-    SELECT b, max(p) AS rows, sha256(string_agg(t, chr(10) ORDER BY p)) AS h FROM (SELECT {_TEXT[c]} AS t, row_number() OVER (ORDER BY {_ORDER}) AS p, CAST(floor((row_number() OVER (ORDER BY {_ORDER}) - 1) / {_BLOCK}) AS BIGINT) AS b FROM s_small) x GROUP BY b) y) z"""
-    for c in _COLS)))
+@query("k9_block_digests", sql_with("s_small", body=f"""SELECT "column", rows, digest, 'dec9-half-even-v1/blocks-{_BLOCK}' AS canonicalisation FROM ({_column_sql(block=_BLOCK)}) x"""))
 def k9(spark, sf):
     return dg.block_digests(small(spark, sf), KEYS, block_rows=_BLOCK)
 
@@ -139,7 +154,7 @@ def objects_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     digests = dg.keyed_digests(df, "c_nationkey", ["c_custkey"], ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]).join(numbers, "entry")
     return digests.select(
         F.lit("U01").alias("unit"), F.concat(F.lit("customers["), "entry", F.lit("]")).alias("object"), "rows", "cols", F.lit("c_custkey,c_name,c_acctbal,c_mktsegment").alias("colnames"),
-        "null_count", "min", "max", "digest", F.lit("dec9-half-even-v1").alias("canonicalisation"),
+        "null_count", "min", "max", "digest", F.lit(dg.CANONICALISATION).alias("canonicalisation"),
     )
 
 

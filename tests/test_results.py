@@ -2,7 +2,6 @@
 
 import hashlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from auditframe.operators import compare as cp, digest as dg
@@ -24,13 +23,42 @@ def test_object_digest_matches_direct_hash(spark):
     lines = [f"{c}={sha(['col', c, '3', *v])}" for c, v in columns.items()]
     row = dg.object_digest(df, ["s"]).first()
     assert row["digest"] == sha(["obj", "frame", "3", "4", *lines]) and row["rows"] == 3
-    with pytest.raises(ValueError):
-        dg.column_digests(df, ["s"], limit=2)
     small = {r["column"]: r["digest"] for r in dg.block_digests(df, ["s"], block_rows=2).collect()}
-    assert set(small) == set(columns) and small == {r["column"]: r["digest"] for r in dg.block_digests(df.repartition(1), ["s"], block_rows=2).collect()}
+    assert small == {c: sha(["col", c, "3", sha(v[:2]), sha(v[2:])]) for c, v in columns.items()}
+    assert small == {r["column"]: r["digest"] for r in dg.block_digests(df.repartition(1), ["s"], block_rows=2).collect()}
     assert [r["n"] for r in dg.canonical_order(df, [("s", "desc")]).orderBy("position").collect()] == [0, 2, 1]
 
 
+def tree(head, items, block):
+    """Plain version of the hash tree."""
+    while len(items) > block:
+        items = [sha(items[i : i + block]) for i in range(0, len(items), block)]
+    return sha([*head, *items])
+
+
+def test_digest_trees_of_any_depth(spark):
+    df = spark.range(700).select((F.col("id") * 37 % 700).alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"), F.concat(F.lit("v"), "id").alias("v")).repartition(5)
+    rows = sorted((r["id"], r["key"], r["v"]) for r in df.collect())
+    for block in (3, 26, 27, 699, 700):
+        got = {r["column"]: r["digest"] for r in dg.block_digests(df, ["id"], block_rows=block).collect()}
+        assert got["v"] == tree(["col", "v", "700"], [r[2] for r in rows], block), block
+    entries = {r["entry"]: r for r in dg.tree_digests(df, ["id"], ["v"], F.col("key"), 4).collect()}
+    for key in ("hot", "k1", "k49"):
+        own = [r[2] for r in rows if r[1] == key]
+        assert entries[key]["digest"] == tree(["col", "v", str(len(own))], own, 4) and entries[key]["rows"] == len(own)
+
+
+def test_keyed_list_of_a_million_keys(spark):
+    n = 1_000_000
+    entries = spark.range(n).select(F.lpad(F.col("id").cast("string"), 7, "0").alias("entry"), F.hex("id").alias("digest")).repartition(4)
+    (row,) = dg.keyed_list_digest(entries).collect()
+    lines = [f"{i:07d}={i:X}" for i in range(n)]
+    blocks = [sha(lines[i : i + dg.BLOCK_ROWS]) for i in range(0, n, dg.BLOCK_ROWS)]
+    assert (row["digest"], row["entries"]) == (sha(blocks), n)
+    (few,) = dg.keyed_list_digest(entries.filter("entry < '0000003'")).collect()
+    assert few["digest"] == sha(lines[:3])
+
+
 def test_vector_states(spark):
     det = [("f", "same", 1, "a"), ("f", "same", 2, "b"), ("f", "order", 1, "a"), ("f", "order", 2, "b"), ("f", "cut", 1, "a"), ("f", "lone", 1, "a")]
     dec = [("u", "same", 1, "a"), ("u", "same", 2, "b"), ("u", "order", 1, "b"), ("u", "order", 2, "a"), ("u", "cut", 1, "a"), ("u", "cut", 2, "c"), ("u", "more", 1, "z")]
