@@ -30,7 +30,7 @@ from auditframe.llm.common import cut_lineage, pick, table
 
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 BITS, CELL = 27, 24  # bits of the bitmap's index, and of a cell within its range
-SECTION, HELD, WORDS = 4_000_000, 4_000_000, 1_000_000  # bytes split, windows held and words remembered at once
+SECTION, HELD, WORDS = 2_000_000, 1_500_000, 400_000  # bytes split, windows held and words remembered at once
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)  # no UTF-8 text holds this byte
 _GAP, _LEAD = re.compile(rb"[ \t\xff]"), re.compile(rb"(?:[ \t]+[^ \t\xff]+){0,%d}" % (LONGEST - 1))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -96,7 +96,7 @@ class _Lang:
 
     def starts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of the words, and hashes of every word and of it with the next (0 where that is a break)."""
-        code = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        code = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
         fresh = [xxhash.xxh3_64_intdigest(w, self.seed) for w in itertools.islice(self.codes, len(self.hash), None)]
         self.hash = np.concatenate([self.hash, np.array(fresh, np.uint64)])
         h = self.hash[code]
@@ -152,7 +152,8 @@ def frequent_starts(docs: DataFrame, least: int = LEAST) -> bytes:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["range", "bits"])
 
         for b in batches:
-            for where, packed, counts in zip(*[c.to_pylist() for c in b.columns]):
+            for i in range(b.num_rows):
+                where, packed, counts = [c[i].as_py() for c in b.columns]
                 if where != now:
                     if now is not None:
                         yield done()
@@ -174,6 +175,14 @@ def frequent_starts(docs: DataFrame, least: int = LEAST) -> bytes:
 # ---------------------------------------------------------------- windows and their prefixes
 
 
+def _grouped(w: list[np.ndarray], n: np.ndarray) -> list[np.ndarray]:
+    """Columns of the distinct rows, and the sums of their numbers."""
+    order = np.lexsort(w[::-1])
+    w = [c[order] for c in w]
+    opens = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in w])]))
+    return [*[c[opens] for c in w], np.add.reduceat(n[order], opens)]
+
+
 def longest_windows(docs: DataFrame, bitmap: bytes) -> DataFrame:
     """(lang, w1..w4, n): windows of the words of (lang, text), counted within each task."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -181,15 +190,11 @@ def longest_windows(docs: DataFrame, bitmap: bytes) -> DataFrame:
     schema = "lang string, " + ", ".join(f"{w} string" for w in names) + ", n bigint"
 
     def counted(lang: str, state: _Lang) -> Iterator[pa.RecordBatch]:
-        w = [np.concatenate(c) for c in zip(*state.parts)]
-        order = np.lexsort(w[::-1])
-        w = [c[order] for c in w]
-        opens = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in w])]))
-        n = np.diff(np.append(opens, len(order)))
+        *w, n = _grouped(*[[np.concatenate(c) for c in zip(*state.parts)][k] for k in (slice(LONGEST), LONGEST)])
         words = pa.array([None, *list(state.codes)[1:]], pa.binary()).cast(pa.string())
-        for at in range(0, len(opens), 1 << 16):
+        for at in range(0, len(n), 1 << 16):
             part = slice(at, at + (1 << 16))
-            columns = [words.take(pa.array(c[opens[part]])) for c in w]
+            columns = [words.take(pa.array(c[part])) for c in w]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *columns, pa.array(n[part], pa.int64())], names=["lang", *names, "n"])
         state.clear()
 
@@ -204,15 +209,15 @@ def longest_windows(docs: DataFrame, bitmap: bytes) -> DataFrame:
             state = langs.setdefault(lang, _Lang(lang))
             code, single, pair = state.starts(words)
             common, goes_on = is_set(bits, single), is_set(bits, pair)
-            window, alive = [np.where(common, code, 0)], goes_on & common
+            window, alive = [code * common], goes_on & common
             for k in range(1, LONGEST):  # lead columns, padded from the first break or rare pair on
-                lead = np.concatenate([code[k:], np.zeros(min(k, len(code)), np.int64)])
-                window.append(np.where(alive, lead, 0))
+                lead = np.concatenate([code[k:], np.zeros(min(k, len(code)), np.int32)])
+                window.append(lead * alive)
                 alive = alive & np.concatenate([goes_on[k:], np.zeros(min(k, len(code)), bool)])
             opens = np.flatnonzero(code[:own] > 0)
             if len(opens):
-                state.parts.append([c[opens] for c in window])
-                state.held += len(opens)
+                state.parts.append(_grouped([c[opens] for c in window], np.ones(len(opens), np.int64)))
+                state.held += len(state.parts[-1][0])
             if state.full():
                 yield from counted(lang, state)
         for lang, state in langs.items():

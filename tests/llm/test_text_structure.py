@@ -138,7 +138,7 @@ def test_phrases_of_made_up_texts(spark, monkeypatch, section):
     rng = random.Random(4)
     rows = [(rng.choice(["en", "de", None, "und"]), " ".join(rng.choices(PHRASES, k=rng.randrange(1, 9)))) for _ in range(300)]
     rows += [("en", None), (None, ""), ("de", " .,\n"), ("en", "x y " * 2000)] + rows[:20]
-    bitmap = phrases.frequent_pairs(spark.createDataFrame(rows, "lang string, text string").fillna({"lang": "und", "text": ""}).coalesce(2), 7)
+    bitmap = phrases.frequent_starts(spark.createDataFrame(rows, "lang string, text string").fillna({"lang": "und", "text": ""}).coalesce(2), 7)
     assert len(bitmap) == 2**phrases.BITS // 8
     for name in ("SECTION", "HELD", "WORDS"):
         monkeypatch.setattr(phrases, name, section)
