@@ -13,6 +13,7 @@ from auditframe.plans.views import frame, remembered, sql_with, view
 from auditframe.session import cut_lineage, scratch_path
 from auditframe.sources import delimited as dl, layout as ly
 from auditframe.sources.ledger import read_ledger
+from auditframe.sources.records import assemble_records
 
 # --- K: digests --------------------------------------------------------------------------------------------------------
 
@@ -420,41 +421,58 @@ def _fc(d: str) -> str:
 
 
 _NAIVE = "(length(line) - length(replace(line, ',', '')) + 1)"
+_RECORD_FC = _fc(",")
 _SCORES = "\nUNION ALL ".join(f"""SELECT file, {i} AS ord, '{n}' AS label, k, CASE WHEN k <= 1 THEN 0 ELSE c * (k - 1) END AS score FROM (SELECT file, k, c, row_number() OVER (PARTITION BY file ORDER BY c DESC, k DESC) AS best
-  FROM (SELECT file, {_fc(d)} AS k, count(*) AS c FROM v_contract_lines GROUP BY ALL) a) b WHERE best = 1"""
-    for i, (n, d) in enumerate(ly.CANDIDATES.items()))
+  FROM (SELECT file, {_fc(d)} AS k, count(*) AS c FROM v_contract_records GROUP BY ALL) a) b WHERE best = 1"""
+    if d == "," else f"""SELECT file, {i} AS ord, '{n}' AS label, 1 AS k, 0 AS score FROM v_contract_records GROUP BY file""" for i, (n, d) in enumerate(ly.CANDIDATES.items()))
 
 
-@query("a4_detect_delimiter", sql_with("v_contract_lines", body=f"""
+def contract_records(spark: SparkSession, sf: str) -> DataFrame:
+    return assemble_records(contract_lines(spark, sf), ",")
+
+
+@query("a4_detect_delimiter", sql_with("v_contract_records", body=f"""
 SELECT a.file, a.label AS winner, a.k AS field_count, a.score, b.label AS runner_up, b.score AS runner_up_score, a.score - b.score AS margin
 FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, ord) AS r FROM ({_SCORES}) s) a JOIN (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, ord) AS r FROM ({_SCORES}) s) b ON a.file = b.file AND a.r = 1 AND b.r = 2"""))
 def a4(spark, sf):
     return ly.detect_delimiter(contract_lines(spark, sf))
 
 
-@query("a5_detect_header")
+_CELLS = """list_transform(regexp_extract_all(',' || regexp_replace(line, '^\ufeff|\r$', '', 'g'), ',("(?:[^"]|"")*"?[^,]*|[^,]*)', 1), lambda p: trim(CASE WHEN p LIKE '"%' THEN replace(regexp_replace(p, '^"((?:[^"]|"")*)"?', '\\1'), '""', '"') ELSE p END))"""
+
+
+@query("a5_detect_header", sql_with("v_contract_records", body=f"""
+WITH numbered AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY record_no) AS place, {_CELLS} AS cells FROM v_contract_records),
+head AS (SELECT * FROM numbered WHERE place <= {ly.HEADER_CANDIDATES}),
+scored AS (SELECT h.file, h.place, h.cells, len(h.cells) AS n, len(list_filter(h.cells, lambda c: length(c) > 0 AND NOT regexp_full_match(c, '[+-]?[0-9.,]+'))) AS texty, len(list_distinct(h.cells)) AS uniq,
+  count(b.place) AS below, coalesce(sum(len(list_filter(list_zip(h.cells, b.cells), lambda z: z[1] = z[2]))), 0) AS repeats FROM head h LEFT JOIN numbered b ON b.file = h.file AND b.place > h.place GROUP BY ALL),
+ranked AS (SELECT *, texty / n * 0.5 + uniq / n * 0.5 - repeats / (n * greatest(1, below)) AS score, row_number() OVER (PARTITION BY file ORDER BY texty / n * 0.5 + uniq / n * 0.5 - repeats / (n * greatest(1, below)) DESC, place) AS r FROM scored)
+SELECT a.file, a.place AS header_place, CAST(round(a.score * 1000) AS BIGINT) AS score, CAST(round(coalesce(b.score, 0) * 1000) AS BIGINT) AS runner_up_score, array_to_string(a.cells, '|') AS names
+FROM ranked a LEFT JOIN ranked b ON b.file = a.file AND b.r = 2 WHERE a.r = 1"""))
 def a5(spark, sf):
-    return ly.detect_header(contract_lines(spark, sf), ",")
+    return ly.detect_header(contract_records(spark, sf), ",")
 
 
-@query("a6_field_count_histogram", sql_with("v_contract_lines", body=f"SELECT file, {_fc(',')} AS field_count, count(*) AS records FROM v_contract_lines GROUP BY ALL"))
+@query("a6_field_count_histogram", sql_with("v_contract_records", body=f"SELECT file, {_RECORD_FC} AS field_count, count(*) AS records FROM v_contract_records GROUP BY ALL"))
 def a6(spark, sf):
-    return ly.field_count_histogram(contract_lines(spark, sf), ",")
+    return ly.field_count_histogram(contract_records(spark, sf))
 
 
-@query("a6_ragged_files", sql_with("v_contract_lines", body=f"SELECT file, string_agg(CAST(k AS VARCHAR) || 'x' || CAST(c AS VARCHAR), ', ' ORDER BY k) AS histogram, count(*) > 1 AS ragged FROM (SELECT file, {_fc(',')} AS k, count(*) AS c FROM v_contract_lines GROUP BY ALL) x GROUP BY file"))
+@query("a6_ragged_files", sql_with("v_contract_records", body=f"SELECT file, string_agg(CAST(k AS VARCHAR) || 'x' || CAST(c AS VARCHAR), ', ' ORDER BY k) AS histogram, count(*) > 1 AS ragged FROM (SELECT file, {_RECORD_FC} AS k, count(*) AS c FROM v_contract_records GROUP BY ALL) x GROUP BY file"))
 def a6b(spark, sf):
-    return ly.ragged(ly.field_count_histogram(contract_lines(spark, sf), ","))
+    return ly.ragged(ly.field_count_histogram(contract_records(spark, sf)))
 
 
-@query("a7_naive_histogram", sql_with("v_contract_lines", body=f"SELECT file, {_NAIVE} AS field_count, count(*) AS records, count(*) FILTER ({_NAIVE} <> {_fc(',')}) AS disagreeing FROM v_contract_lines WHERE line <> '' GROUP BY ALL"))
+@query("a7_naive_histogram", sql_with("v_contract_records", "v_contract_lines", body=f"""
+SELECT file, field_count, coalesce(l, 0) AS lines, coalesce(r, 0) AS records, greatest(0, coalesce(l, 0) - coalesce(r, 0)) AS disagreeing
+FROM (SELECT file, {_NAIVE} AS field_count, count(*) AS l FROM v_contract_lines WHERE line <> '' GROUP BY ALL) x FULL JOIN (SELECT file, {_RECORD_FC} AS field_count, count(*) AS r FROM v_contract_records GROUP BY ALL) y USING (file, field_count)"""))
 def a7(spark, sf):
-    return ly.naive_field_count_histogram(contract_lines(spark, sf), ",")
+    return ly.naive_field_count_histogram(contract_lines(spark, sf), contract_records(spark, sf), ",")
 
 
-@query("a8_quoted_delimiter_stats", sql_with("v_contract_lines", body=f"SELECT file, count(*) AS records, count(*) FILTER ({_NAIVE} <> {_fc(',')}) AS quoted_delimiter, count(*) FILTER (suffix(line, chr(13))) AS crlf, 0 AS invalid_utf8, bool_or(starts_with(line, '﻿')) AS byte_order_mark FROM v_contract_lines GROUP BY file"))
+@query("a8_quoted_delimiter_stats", sql_with("v_contract_records", body=f"SELECT file, count(*) AS records, count(*) FILTER ({_NAIVE} <> {_RECORD_FC}) AS quoted_delimiter, count(*) FILTER (suffix(line, chr(13))) AS crlf, 0 AS invalid_utf8, bool_or(starts_with(line, '\ufeff')) AS byte_order_mark FROM v_contract_records GROUP BY file"))
 def a8(spark, sf):
-    return ly.quoted_delimiter_stats(contract_lines(spark, sf), ",")
+    return ly.quoted_delimiter_stats(contract_lines(spark, sf), contract_records(spark, sf))
 
 
 @query("a1_read_ledger", sql_with("v_claims", body="SELECT 'ok' AS state, count(DISTINCT ledger_id) AS ledgers FROM v_claims"))

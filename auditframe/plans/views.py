@@ -215,14 +215,19 @@ SELECT k + 1 AS row_index,
   CASE WHEN k % 6 = 5 THEN '' ELSE c_mktsegment END AS contract_type
 FROM v_money
 """, "v_money")
-view("v_contract_lines", """
-SELECT '' || file AS file, row_index + 1 AS line_no, '"' || BSV || '",' || abschlussdatum || ',' || einloesungsdatum || ',' || erstmalige_zuteilungsanwartschaft || ',' || Tilgungsbeginn || ',' ||
-  Vertragsende || ',"' || DaBetrag || '",' || bausparsumme_teuro || ',"' || guthaben || '",' || CASE WHEN contains_comma THEN '"' || tariff_amount || '"' ELSE tariff_amount END || ',' || contract_type ||
+view("v_contract_records", """
+SELECT '' || file AS file, row_index + 1 AS record_no, '"' || BSV || '",' || abschlussdatum || ',' || einloesungsdatum || ',' || erstmalige_zuteilungsanwartschaft || ',' || Tilgungsbeginn || ',' ||
+  Vertragsende || ',"' || DaBetrag || '",' || bausparsumme_teuro || ',"' || guthaben || '",' || CASE WHEN contains_comma THEN '"' || tariff_amount || '"' ELSE tariff_amount END || ',' || CASE WHEN row_index % 101 = 7 THEN '"' || contract_type || chr(10) || 'see, below"' ELSE contract_type END ||
   CASE WHEN row_index % 499 = 3 THEN ',surplus' ELSE '' END || CASE WHEN row_index % 7 = 5 THEN chr(13) ELSE '' END AS line
 FROM (SELECT *, CASE WHEN contract_type = '' THEN 'none.csv' ELSE lower(contract_type) || '.csv' END AS file, tariff_amount LIKE '%,%' AS contains_comma FROM v_contracts) x
 UNION ALL SELECT DISTINCT CASE WHEN contract_type = '' THEN 'none.csv' ELSE lower(contract_type) || '.csv' END, 0,
   CASE WHEN contract_type = '' THEN '﻿' ELSE '' END || 'BSV,abschlussdatum,einloesungsdatum,erstmalige_zuteilungsanwartschaft,Tilgungsbeginn,Vertragsende,DaBetrag,bausparsumme_teuro,guthaben,tariff_amount,contract_type' FROM v_contracts
 """, "v_contracts")
+# the same as physical lines: a quoted field of some records holds a line break
+view("v_contract_lines", """
+SELECT file, 2 * record_no AS line_no, split_part(line, chr(10), 1) AS line FROM v_contract_records
+UNION ALL SELECT file, 2 * record_no + 1, split_part(line, chr(10), 2) FROM v_contract_records WHERE line LIKE '%' || chr(10) || '%'
+""", "v_contract_records")
 
 
 def _closure(names: tuple[str, ...]) -> list[str]:

@@ -2,50 +2,30 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditframe.functions.text import trim_cell  # noqa: F401
-from auditframe.sources.layout import fields, number_by_block
-
-
-def header_layouts(spark: SparkSession, path: str, delimiter: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by the header they carry: read from the first line of each file, one small row per file."""
-    first = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
-    heads = first.filter("block = 0").groupBy("file").agg(F.min_by("value", "i").alias("head"))
-    clean = F.regexp_replace(F.regexp_replace("head", "\\A\ufeff", ""), "\r\\z", "")
-    rows = heads.select("file", fields(clean, delimiter).alias("names")).collect()
-    out: dict[tuple[str, ...], list[str]] = {}
-    for row in rows:
-        out.setdefault(tuple(row["names"]), []).append(row["file"])
-    return out
+from auditframe.session import cut_lineage
+from auditframe.sources.layout import fields, read_lines
+from auditframe.sources.records import assemble_records
 
 
-def read_contract_csv(spark: SparkSession, path: str, delimiter: str = ",", embedded_breaks: bool = True) -> DataFrame:
+def read_contract_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """All columns as text, bound by header name, plus ``file`` and the 1-based ``row_index`` in the file.
 
-    Files with different headers are read apart and united by name; the first of two equal header names wins.  With
-    ``embedded_breaks`` a quoted field may hold line breaks and a file is read by one task; without, files are split.
+    Files are split whether quoted fields hold line breaks or not.  The first of two equal header names wins; a file without a
+    column has null there, a record too short for its file's header has an empty text.
     """
-    parts = []
-    for names, files in header_layouts(spark, path, delimiter).items():
-        columns = [f"c{i}" for i in range(len(names))]
-        raw = (
-            spark.read.schema(", ".join(f"{c} string" for c in columns))
-            .option("header", "true").option("sep", delimiter).option("quote", '"').option("escape", '"')
-            .option("multiLine", str(embedded_breaks).lower()).option("enforceSchema", "true")
-            .option("emptyValue", "").option("mode", "PERMISSIVE")
-            .csv(files)
-        )
-        tagged = raw.select(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_id"),
-            *[F.coalesce(F.col(columns[i]), F.lit("")).alias(n) for i, n in enumerate(names) if n not in names[:i]],
-        )
-        parts.append(number_by_block(tagged, "row_index"))
-    if not parts:
+    records = assemble_records(read_lines(spark, path), delimiter)
+    cells = records.select("file", "record_no", fields(F.col("line"), delimiter).alias("cells"))
+    heads = cut_lineage(cells.filter("record_no = 1").select("file", F.col("cells").alias("names")))
+    # the schema: distinct names, whatever the number of files
+    first = heads.groupBy("names").agg(F.min("file").alias("file")).select("file", F.posexplode("names").alias("place", "name"))
+    names = [r["name"] for r in first.groupBy("name").agg(F.min(F.struct("place", "file")).alias("at")).orderBy("at", "name").collect()]
+    if not names:
         raise FileNotFoundError(path)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    at = lambda n: F.array_position("names", F.lit(n)).cast("int")
+    values = [F.when(at(n) > 0, F.coalesce(F.try_element_at("cells", F.greatest(at(n), F.lit(1))), F.lit(""))).alias(n) for n in names]
+    return cells.filter("record_no > 1").join(heads, "file").select("file", *values, (F.col("record_no") - 1).alias("row_index"))
 
 
 def split_positional(lines: DataFrame, names: list[str], delimiter: str = "|") -> DataFrame:

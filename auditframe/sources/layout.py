@@ -1,6 +1,6 @@
 """Layout of delimited text found from its content: delimiter, header row, field counts, quoting hazards.
 
-All jobs run over ``(file, line_no, line)`` and are keyed by file, so one job covers a folder of files.
+All jobs run over the records that ``assemble_records`` makes of ``(file, line_no, line)`` and are keyed by file, so one job covers a folder of files.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from auditframe.functions.text import trim_cell
-from auditframe.operators.ordering import with_chunks, with_positions
+from auditframe.sources.records import assemble_records, in_blocks
 
 # Delimiter candidates in order of preference, records that may be the header.
 CANDIDATES = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
@@ -50,17 +50,6 @@ def _field_pattern(delimiter: str) -> str:
     return f'{d}("(?:[^"]++|"")*+"?[^{d}]*+|[^{d}]*+)'
 
 
-def outside_quotes(line: Column, delimiter: str) -> Column:
-    """The line without its quoted parts (a quote opens only at the start of a field)."""
-    d = re.escape(delimiter)
-    return F.regexp_replace(line, f'(^|{d})"(?:[^"]++|"")*+"?', "$1")
-
-
-def field_count(line: Column, delimiter: str) -> Column:
-    bare = outside_quotes(line, delimiter)
-    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
-
-
 def fields(line: Column, delimiter: str) -> Column:
     """Field values of one record, quotes resolved."""
     parts = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(_field_pattern(delimiter)), F.lit(1))
@@ -69,17 +58,12 @@ def fields(line: Column, delimiter: str) -> Column:
     )
 
 
-def sample(lines: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` lines of every file (ranks are cut before the shuffle); ``place`` is the rank."""
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    return lines.withColumn("place", rank).filter(F.col("place") <= n)
-
-
 def detect_delimiter(lines: DataFrame) -> DataFrame:
-    """Per file: winning delimiter, runner-up and margin, by modal field count times consistency over all lines."""
-    counted = lines.select(
-        "file", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("label"), field_count(F.col("line"), d).alias("k")) for i, (n, d) in enumerate(CANDIDATES.items())])).alias("x")
-    ).select("file", "x.ord", "x.label", "x.k")
+    """Per file: winning delimiter, runner-up and margin, by modal field count times consistency over all records."""
+    counted, lines = None, in_blocks(lines)
+    for i, (name, d) in enumerate(CANDIDATES.items()):
+        own = assemble_records(lines, d).select("file", F.lit(i).alias("ord"), F.lit(name).alias("label"), F.col("fields").alias("k"))
+        counted = own if counted is None else counted.unionByName(own)
     modes = counted.groupBy("file", "ord", "label", "k").count()
     modal = modes.groupBy("file", "ord", "label").agg(F.max(F.struct("count", "k")).alias("m"))
     score = F.when(F.col("m.k") <= 1, 0).otherwise(F.col("m.count") * (F.col("m.k") - 1))
@@ -92,20 +76,20 @@ def detect_delimiter(lines: DataFrame) -> DataFrame:
     )
 
 
-def detect_header(lines: DataFrame, delimiter: str) -> DataFrame:
-    """Per file: which of the first three records looks most like a header, its names, score and margin.
+def detect_header(records: DataFrame, delimiter: str) -> DataFrame:
+    """Per file of records (file, record_no, line): which of the first three looks most like a header, its names, score and margin.
 
     A header has textual, distinct cells that do not repeat in the records below it.
     """
     cells = F.transform(fields(bare(F.col("line")), delimiter), trim_cell)
-    head = sample(lines, HEADER_CANDIDATES).select("file", "line_no", "place", cells.alias("cells"))
-    body = lines.select("file", F.col("line_no").alias("below"), cells.alias("other"))
+    head = records.filter(F.col("record_no") <= HEADER_CANDIDATES).select("file", F.col("record_no").alias("place"), cells.alias("cells"))
+    body = records.select("file", F.col("record_no").alias("below"), cells.alias("other"))
     n = F.size("cells")
     texty = F.size(F.filter("cells", lambda c: (F.length(c) > 0) & ~c.rlike(r"\A[+-]?[\d.,]+\z")))
     unique = F.size(F.array_distinct("cells"))
     # the records of a file meet its three candidates, so the join grows with the records
     pairs = head.join(body, "file", "left")
-    under = F.col("below") > F.col("line_no")
+    under = F.col("below") > F.col("place")
     equal = F.size(F.filter(F.arrays_zip(F.col("cells").alias("a"), F.col("other").alias("b")), lambda z: z["a"] == z["b"]))
     repeats = pairs.groupBy("file", "place", "cells").agg(F.sum(F.when(under, equal).otherwise(0)).alias("repeats"), F.count_if(under).alias("rows_below"))
     score = texty / n * 0.5 + unique / n * 0.5 - F.col("repeats") / (n * F.greatest(F.lit(1), F.col("rows_below")))
@@ -119,8 +103,8 @@ def detect_header(lines: DataFrame, delimiter: str) -> DataFrame:
     )
 
 
-def field_count_histogram(lines: DataFrame, delimiter: str) -> DataFrame:
-    return lines.groupBy("file", field_count(F.col("line"), delimiter).alias("field_count")).agg(F.count("*").alias("records"))
+def field_count_histogram(records: DataFrame) -> DataFrame:
+    return records.groupBy("file", F.col("fields").alias("field_count")).agg(F.count("*").alias("records"))
 
 
 def ragged(histogram: DataFrame) -> DataFrame:
@@ -129,49 +113,23 @@ def ragged(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy("file").agg(F.array_join(entries, ", ").alias("histogram"), (F.count("*") > 1).alias("ragged"))
 
 
-def naive_field_count_histogram(lines: DataFrame, delimiter: str) -> DataFrame:
-    """Quote-blind field counts, and how many lines of each count the quote-aware reading sees differently."""
-    line = F.col("line")
+def naive_field_count_histogram(lines: DataFrame, records: DataFrame, delimiter: str) -> DataFrame:
+    """Quote-blind field counts of lines next to the field counts of records, and how many lines the blind reading counts in excess."""
+    line = bare(F.col("line"))
     naive = F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit(""))) + 1
-    seen = lines.filter("line != ''").select("file", naive.alias("field_count"), field_count(line, delimiter).alias("aware"))
-    return seen.groupBy("file", "field_count").agg(F.count("*").alias("records"), F.count_if(F.col("field_count") != F.col("aware")).alias("disagreeing"))
+    blind = lines.filter(line != "").groupBy("file", naive.alias("field_count")).agg(F.count("*").alias("lines"))
+    both = blind.join(field_count_histogram(records), ["file", "field_count"], "full_outer")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint") for c in ("lines", "records")]
+    return both.select("file", "field_count", counts[0].alias("lines"), counts[1].alias("records"), F.greatest(F.lit(0), counts[0] - counts[1]).cast("bigint").alias("disagreeing"))
 
 
-def quoted_delimiter_stats(lines: DataFrame, delimiter: str) -> DataFrame:
-    """Per file: records with a delimiter inside quotes, line terminators, byte-order mark, invalid UTF-8."""
+def quoted_delimiter_stats(lines: DataFrame, records: DataFrame) -> DataFrame:
+    """Per file: records, those with a delimiter inside quotes, line terminators, lines that are no UTF-8, byte-order mark."""
     line = F.col("line")
-    naive = F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit(""))) + 1
     # the reader takes the mark off the first line, so files read here show it in their size; one byte may lack after the last line
     mark = F.bool_or(line.startswith("\ufeff"))
     if "file_bytes" in lines.columns:
         mark = mark | (F.max("file_bytes") - F.sum(F.octet_length(line) + 1) >= 2)
-    return lines.groupBy("file").agg(
-        F.count("*").alias("records"),
-        F.count_if(naive != field_count(line, delimiter)).alias("quoted_delimiter"),
-        F.count_if(line.endswith("\r")).alias("crlf"),
-        F.count_if(~F.is_valid_utf8(line)).alias("invalid_utf8"),
-        mark.alias("byte_order_mark"),
-    )
-
-
-def assemble_records(lines: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
-    """(file, record_no, line_no, line) with physical lines joined where a quoted field runs over line breaks.
-
-    A line opens or closes a quoted field when its quotes are odd in number.  The running parity is summed per
-    fixed-size chunk and the chunk sums are carried over, so no file is walked by a single task.
-    """
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    marked = lines.select("file", "line_no", "line", (quotes % 2).alias("odd"))
-    placed = with_chunks(with_positions(marked, [F.col("file").asc(), F.col("line_no").asc()]), chunk_rows, 0)
-    sums = placed.groupBy("file", "chunk").agg(F.sum("odd").alias("s"))
-    earlier = F.coalesce(F.sum("s").over(Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carried = placed.join(sums.select("file", "chunk", earlier.alias("before")), ["file", "chunk"])
-    within = F.coalesce(F.sum("odd").over(Window.partitionBy("file", "chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    opened = carried.withColumn("inside", (F.col("before") + within) % 2 == 1)
-    starts = opened.groupBy("file", "chunk").agg(F.count_if(~F.col("inside")).alias("s"))
-    previous = F.coalesce(F.sum("s").over(Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = opened.join(starts.select("file", "chunk", previous.alias("records_before")), ["file", "chunk"])
-    running = F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(Window.partitionBy("file", "chunk").orderBy("line_no"))
-    pieces = numbered.withColumn("record_no", F.col("records_before") + running)
-    whole = pieces.groupBy("file", "record_no").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("i"), "line"))).alias("x"))
-    return whole.select("file", F.col("record_no").cast("bigint").alias("record_no"), "line_no", F.array_join("x.line", "\n").alias("line"))
+    raw = lines.groupBy("file").agg(F.count_if(~F.is_valid_utf8(line)).alias("invalid_utf8"), mark.alias("byte_order_mark"))
+    seen = records.groupBy("file").agg(F.count("*").alias("records"), F.count_if("quoted").alias("quoted_delimiter"), F.count_if("crlf").alias("crlf"))
+    return seen.join(raw, "file").select("file", "records", "quoted_delimiter", "crlf", "invalid_utf8", "byte_order_mark")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditframe.operators import compare as cp, digest as dg
 from auditframe.operators.ordering import rank_within
 from auditframe.sources import delimited as dl, layout as ly
+from auditframe.sources.records import assemble_records
 
 
 def sha(parts):
@@ -86,7 +87,7 @@ def test_fields_and_header(spark):
     df = spark.createDataFrame(rows, "file string, line_no int, line string")
     got = [r[0] for r in df.orderBy("line_no").select(ly.fields(F.col("line"), ",")).collect()]
     assert got == [["id", "name", "amount"], ["1", 'a,"b"', "2,5"], ["2", "", "3,5"], ["3", "c d", "4"]]
-    head = ly.detect_header(df, ",").first()
+    head = ly.detect_header(assemble_records(df), ",").first()
     assert (head["header_place"], head["names"]) == (1, "id|name|amount")
     assert ly.detect_delimiter(df).first()["winner"] == "comma"
 
@@ -94,9 +95,9 @@ def test_fields_and_header(spark):
 def test_records_over_line_breaks(spark):
     text = ["h1,h2", '1,"a', 'b', 'c"', "2,x", '3,"y', 'z"']
     df = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file string, line_no int, line string").repartition(3)
-    for chunk in (2, 100):
-        got = [r["line"] for r in ly.assemble_records(df, chunk_rows=chunk).orderBy("record_no").collect()]
-        assert got == ["h1,h2", '1,"a\nb\nc"', "2,x", '3,"y\nz"']
+    got = [(r["line"], r["fields"]) for r in assemble_records(df).orderBy("record_no").collect()]
+    assert got == [("h1,h2", 2), ('1,"a\nb\nc"', 2), ("2,x", 2), ('3,"y\nz"', 2)]
+    assert ly.ragged(ly.field_count_histogram(assemble_records(df))).first()["ragged"] is False
 
 
 def test_csv_reader(spark, tmp_path):
