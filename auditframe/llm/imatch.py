@@ -1,8 +1,9 @@
 """I-Match fingerprints: hashes of the distinct terms of a text that lie in a band of inverse document frequency.
 
 The lexicon is every word whose document frequency lies between ``LOW`` and ``HIGH`` of all documents.  Its size is bounded:
-with d distinct words a document on average, at most d / ``LOW`` words reach the lower end, however large the corpus.  It
-becomes a constant of the plan (an array of small buckets), so every text is fingerprinted within its own row.
+with d distinct words a document on average, at most d / ``LOW`` words reach the lower end, however large the corpus.  The part that
+some sub-lexicon keeps, about 23 %, becomes a constant of the plan (an array of small buckets), so every text is fingerprinted
+within its own row.
 Sub-lexicons are random subsets of it, by a hash of the word: set j keeps a word with probability 2 ** -(FIRST_SCALE + j % SCALES), so
 long and short documents both have sets that hold a few of their words.  A fingerprint is one hash a set, over the sorted
 distinct words kept; two are as like as the share of equal hashes among the sets that keep a word of either.
@@ -38,10 +39,19 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
 
+def kept_by(word: str) -> Column:
+    """How many of the sub-lexicons of the first scale, which hold those of the others, keep the word."""
+    mask = (1 << FIRST_SCALE) - 1
+    return sum((F.xxhash64(word, F.lit(k)).bitwiseAND(F.lit(mask)) == 0).cast("int") for k in range(SETS // SCALES))
+
+
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
-    """Hashes of the words of the band, in ascending order; at most (mean distinct words a document) / ``low`` of them."""
+    """Hashes of the words of the band that some sub-lexicon keeps, in ascending order.
+
+    In the mean these are 23 % of the band, which holds (mean distinct words a document) / ``low`` words at most.
+    """
     n = docs.agg(F.count("*").alias("n")).first()["n"]
-    band = document_frequencies(docs, text).filter(F.col("df").between(max(1.0, low * n), max(1.0, high * n)))
+    band = document_frequencies(docs, text).filter(F.col("df").between(max(1.0, low * n), max(1.0, high * n)) & (kept_by("word") > 0))
     return sorted(r["word"] for r in band.filter(F.col("word") != F.xxhash64(F.lit(""))).select("word").collect())
 
 
@@ -93,9 +103,10 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     rows = docs.join(heads, "key").withColumn("edited", edited)
     done = rows.select(
         "key", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.array_join(fingerprint(F.col("text"), member), ":").alias("fingerprint"), F.array_join(fingerprint(F.col("edited"), member), ":").alias("edited_fingerprint"),
+        # one expression for both texts, so the plan holds the lexicon once
+        F.transform(F.array("text", "edited"), lambda t: F.array_join(fingerprint(t, member), ":")).alias("prints"),
     )
-    done = cut_lineage(done)
+    done = cut_lineage(done.select("key", "n_chars", "edited_sha256", F.get("prints", F.lit(0)).alias("fingerprint"), F.get("prints", F.lit(1)).alias("edited_fingerprint")))
     following = done.groupBy("key").agg(F.min("fingerprint").alias("next_fingerprint")).join(links, "key").select(F.col("for_key").alias("key"), "next_fingerprint")
     return done.join(following, "key").select(
         F.nullif("key", F.lit(_NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
