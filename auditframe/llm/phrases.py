@@ -4,11 +4,11 @@ Every word of a piece of text opens one window of up to ``LONGEST`` words (its l
 windows are counted; ROLLUP sums them over successively shorter prefixes, so the count of a shorter phrase is the sum over
 the windows that begin with it, and no n-gram of another length is ever spread out.
 
-Most windows occur once and would all cross the network.  So a window is padded from the first word or pair of neighbours on that occurs
-fewer than ``LEAST`` times: no phrase beyond it can be a candidate, lie in one, or be cut from one, and all shorter prefixes
-keep their counts.  What is that rare is told by counts over hash cells: never too low, so no candidate is lost, and where
-cells are shared something rare is merely not padded away.  Cells are counted range by range in arrays of fixed size,
-with ranges in proportion to the input's partitions; what is sent to every task is one bitmap of ``BITS`` bits, whatever the input.
+Most windows occur once and would all cross the network.  So a window is padded behind its longest beginning that occurs ``LEAST`` times or
+more, as do all its parts: nothing longer can be a candidate, lie in one, or be cut from one, and all shorter prefixes keep
+their counts.  What is that frequent is told by counts over hash cells, first of words and pairs, then of the longer phrases made of
+such pairs: never too low, so no candidate is lost, and where cells are shared something rare is merely not padded away.  Cells are counted range by range in arrays of fixed size,
+with ranges in proportion to the input's partitions; what is sent to every task is two bitmaps of 2 ** ``BITS`` bits, whatever the input.
 
 Null texts are empty ones, a null lang counts as ``und``; repeated rows all count, doc_id is not used.  Ties of equal score and count go
 by the phrase's UTF-8 bytes.  Words hold no space, so a phrase joined by spaces names its words.
@@ -76,6 +76,25 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
             yield lang, words, len(words)
 
 
+def _ahead(x: np.ndarray, k: int) -> np.ndarray:
+    """What stands ``k`` places on, nothing behind the end."""
+    return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
+
+
+def _is_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - BITS)
+    return (h > 0) & (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _alive(found: list[np.ndarray], bitmaps: list[np.ndarray]) -> list[np.ndarray]:
+    """Whether the word, pair, and so on at each place is frequent with all its parts; each bitmap tells of two lengths."""
+    out = []
+    for k in range(2 * len(bitmaps)):
+        here = _is_set(bitmaps[k // 2], found[k])
+        out.append(here & out[-1] & _ahead(out[-1], 1) if out else here)
+    return out
+
+
 class _Codes(dict):
     """Numbers words from 1 in the order met; a break is 0."""
 
@@ -94,18 +113,18 @@ class _Lang:
     def clear(self) -> None:
         self.codes, self.hash, self.parts, self.held = _Codes({b"\xff": 0}), np.zeros(1, np.uint64), [], 0
 
-    def starts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of the words, and hashes of every word and of it with the next (0 where that is a break)."""
+    def starts(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Codes of the words, and hashes of the word, the pair, and so on that begin at each (0 where a break comes before their end)."""
         code = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
-        fresh = [xxhash.xxh3_64_intdigest(w, self.seed) for w in itertools.islice(self.codes, len(self.hash), None)]
+        fresh = [xxhash.xxh3_64_intdigest(w, self.seed) | 1 for w in itertools.islice(self.codes, len(self.hash), None)]
         self.hash = np.concatenate([self.hash, np.array(fresh, np.uint64)])
-        h = self.hash[code]
-        mixed = np.zeros(len(code), np.uint64)
-        x = h[:-1] * _ODD[0] + h[1:] * _ODD[1]
-        x = (x ^ (x >> np.uint64(29))) * _ODD[2]
-        x ^= x >> np.uint64(32)
-        mixed[:-1] = np.where((code[:-1] > 0) & (code[1:] > 0), x | np.uint64(1), np.uint64(0))
-        return code, h, mixed
+        found = [self.hash[code]]
+        for k in range(1, LONGEST):
+            x = found[-1] * _ODD[0] + _ahead(found[0], k) * _ODD[1]
+            x = (x ^ (x >> np.uint64(29))) * _ODD[2]
+            x = (x ^ (x >> np.uint64(32))) | np.uint64(1)
+            found.append(x * ((found[-1] > 0) & (_ahead(found[0], k) > 0)))
+        return code, found
 
     def full(self) -> bool:
         return self.held > HELD or len(self.codes) > WORDS
@@ -114,10 +133,14 @@ class _Lang:
 # ---------------------------------------------------------------- words and pairs that are frequent enough
 
 
-def frequent_starts(docs: DataFrame, least: int = LEAST) -> bytes:
-    """Bitmap over hashes: a word, or pair of neighbours, that occurs ``least`` times or more in its language has its bit set."""
+def frequent_starts(docs: DataFrame, least: int = LEAST, before: list[bytes] = ()) -> bytes:
+    """Bitmap over hashes of words and pairs, or with their bitmap of phrases of three and four words whose pairs are frequent.
+
+    What occurs ``least`` times or more in its language has its bit set.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(list(before))
     tasks = max(1, docs.rdd.getNumPartitions())
-    range_bits = min(12, max(6, tasks.bit_length()))
+    range_bits = min(12, max(8, tasks.bit_length()))
     local = BITS - range_bits
     schema = "range int, cells binary, counts binary"
 
@@ -133,10 +156,16 @@ def frequent_starts(docs: DataFrame, least: int = LEAST) -> bytes:
         hashes, held = [np.zeros(0, np.uint64)], 0
         for lang, words, own in _words(batches):
             state = langs.setdefault(lang, _Lang(lang))
-            for found in state.starts(words)[1:]:
-                hashes.append(found[:own][found[:own] > 0])
-                held += len(hashes[-1])
-            if held > HELD:
+            found = state.starts(words)[1]
+            if shared.value:
+                alive = _alive(found, [np.frombuffer(x, np.uint8) for x in shared.value])[-1]
+                alive = [alive & _ahead(alive, 1), alive & _ahead(alive, 1) & _ahead(alive, 2)]
+                counted = [found[k][:own][alive[k - 2][:own]] for k in (2, 3)]
+            else:
+                counted = [found[k][:own][found[k][:own] > 0] for k in (0, 1)]
+            hashes += counted
+            held += sum(map(len, counted))
+            if held > 2 * HELD:
                 yield rows(hashes)
                 hashes, held = [np.zeros(0, np.uint64)], 0
             if sum(len(s.codes) for s in langs.values()) > WORDS:
@@ -183,9 +212,9 @@ def _grouped(w: list[np.ndarray], n: np.ndarray) -> list[np.ndarray]:
     return [*[c[opens] for c in w], np.add.reduceat(n[order], opens)]
 
 
-def longest_windows(docs: DataFrame, bitmap: bytes) -> DataFrame:
+def longest_windows(docs: DataFrame, bitmaps: list[bytes]) -> DataFrame:
     """(lang, w1..w4, n): windows of the words of (lang, text), counted within each task."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
     names = [f"w{k + 1}" for k in range(LONGEST)]
     schema = "lang string, " + ", ".join(f"{w} string" for w in names) + ", n bigint"
 
@@ -198,22 +227,14 @@ def longest_windows(docs: DataFrame, bitmap: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *columns, pa.array(n[part], pa.int64())], names=["lang", *names, "n"])
         state.clear()
 
-    def is_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-        at = h >> np.uint64(64 - BITS)
-        return (h > 0) & (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits = [np.frombuffer(x, np.uint8) for x in shared.value]
         langs: dict[str, _Lang] = {}
         for lang, words, own in _words(batches):
             state = langs.setdefault(lang, _Lang(lang))
-            code, single, pair = state.starts(words)
-            common, goes_on = is_set(bits, single), is_set(bits, pair)
-            window, alive = [code * common], goes_on & common
-            for k in range(1, LONGEST):  # lead columns, padded from the first break or rare pair on
-                lead = np.concatenate([code[k:], np.zeros(min(k, len(code)), np.int32)])
-                window.append(lead * alive)
-                alive = alive & np.concatenate([goes_on[k:], np.zeros(min(k, len(code)), bool)])
+            code, found = state.starts(words)
+            # lead columns, padded from the break or the end of the longest frequent phrase on
+            window = [_ahead(code, k) * here for k, here in enumerate(_alive(found, bits))]
             opens = np.flatnonzero(code[:own] > 0)
             if len(opens):
                 state.parts.append(_grouped([c[opens] for c in window], np.ones(len(opens), np.int64)))
@@ -231,7 +252,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, words, phrase, f): all phrases of 1 to ``LONGEST`` words that occur ``least`` times, and one row of 0 words with the language's words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter(F.length("text") > 0)
     names = [f"w{k + 1}" for k in range(LONGEST)]
-    windows = longest_windows(texts, frequent_starts(texts, least)).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    short = frequent_starts(texts, least)
+    windows = longest_windows(texts, [short, frequent_starts(texts, least, [short])]).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     summed = cut_lineage(windows).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("missing"))
     words = F.lit(LONGEST) - F.bit_count("missing")
     # a window that is padded before the prefix ends does not hold such a phrase
