@@ -151,6 +151,17 @@ def probes(df: DataFrame, keys: list[OrderKey]) -> DataFrame:
     return texts.select(F.col("rule").alias("selection_rule"), F.create_map(*pairs).alias("fields"))
 
 
+def keyed_probes(df: DataFrame, key: str, keys: list[OrderKey], columns: list[str]) -> DataFrame:
+    """(entry, selection_rule, fields): first, middle and last row of every entry in canonical order, entries of any size."""
+    base = df.select(F.col(key).cast("string").alias("__entry"), *dict.fromkeys([*columns, *_names(keys)]))
+    placed = rank_within(base, ["__entry"], order_columns(keys), "position").join(base.groupBy("__entry").agg(F.count("*").alias("__rows")), "__entry")
+    rules = {"index:1": F.lit(1), "index:ceil(n/2)": F.ceil(F.col("__rows") / 2), "index:n": F.col("__rows")}
+    hit = F.array_compact(F.array(*[F.when(F.col("position") == at, F.lit(name)) for name, at in rules.items()]))
+    texts = canonical_table(placed.select("__entry", F.explode(hit).alias("rule"), *columns), columns, ["__entry", "rule"])
+    pairs = [x for c in columns for x in (F.lit(c), F.col(f"c__{c}"))]
+    return texts.select(F.col("__entry").alias("entry"), F.col("rule").alias("selection_rule"), F.create_map(*pairs).alias("fields"))
+
+
 def coverage(df: DataFrame) -> DataFrame:
     """One row: row, field and null counts, least and greatest numeric cell as canonical text."""
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}

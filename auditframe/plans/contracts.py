@@ -166,7 +166,7 @@ def export(spark: SparkSession, sf: str) -> DataFrame:
 
 @remembered
 def checked(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.checked_cells(contracts(spark, sf), DAY)
+    return checks.stored_cells(contracts(spark, sf), DAY)
 
 
 def date_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -632,7 +632,7 @@ def h22(spark, sf):
     return checks.declared_vs_observed(declared, observed)
 
 
-_CONTROLLED = ["P-03", "P-05", "P-06", "P-11", "FND-01", "FND-03"]
+_CONTROLLED = list(_PRE)
 
 
 @query("h23_control_pair", sql_with("o_six", body=f"""
@@ -643,6 +643,7 @@ def h23(spark, sf):
     plain = F.col("row_index").cast("string")
     # the same table with every doubtful cell replaced by a sound one
     good = bad.withColumns(
-        {c: F.lit("") for c in lc.DATE_COLUMNS} | {c: F.lit("100") for c in ("DaBetrag", "bausparsumme_teuro", "guthaben")} | {"BSV": plain, "tariff_amount": F.lit("0.4")}
+        {c: F.lit(f"{year}-01-31") for c, year in zip(lc.DATE_COLUMNS, (2010, 2010, 2020, 2021, 2030))} | {"DaBetrag": F.lit("100000"), "bausparsumme_teuro": F.lit("100"), "guthaben": F.lit("20000")}
+        | {"BSV": plain, "tariff_amount": F.lit("0,4")}
     )
     return checks.control_pair(checks.preconditions(good, DAY, only=_CONTROLLED), checks.evaluate(checked(spark, sf), bad.columns, _CONTROLLED))

@@ -527,18 +527,19 @@ def d23(spark, sf):
 
 # --- F: gates and tallies ------------------------------------------------------------------------------------------
 
-GATES = ["G-01", "G-02", "G-03", "G-04", "G-05", "G-06", "G-09", "G-10", "G-13"]
+GATES = ["G-01", "G-02", "G-03", "G-04", "G-05", "G-06", "G-09", "G-10", "G-13", "G-15"]
 _OFFENCES = f"""SELECT ledger_id, CASE rule_id WHEN 'V-008' THEN 'G-03' WHEN 'V-010' THEN 'G-04' WHEN 'V-017' THEN 'G-05' WHEN 'V-011' THEN 'G-06' WHEN 'V-007' THEN 'G-09'
     WHEN 'V-018' THEN 'G-09' WHEN 'V-016' THEN 'G-10' WHEN 'V-021' THEN 'G-13' END AS gate
   FROM ({_V008} UNION ALL {_V010} UNION ALL {_V017} UNION ALL {_V011} UNION ALL {_STALE} UNION ALL {_V016} UNION ALL {_V021}) f
   UNION ALL SELECT ledger_id, 'G-01' FROM v_reviews WHERE severity = 'BLOCKING' AND resolution = 'OPEN'
+  UNION ALL SELECT a.ledger_id, 'G-15' FROM v_bundle a LEFT JOIN v_bundle_stored s ON s.path = a.path WHERE a.status = 'PRODUCED' AND coalesce(s.bytes, 0) = 0
   UNION ALL SELECT ledger_id, 'G-02' FROM v_claims c WHERE claim_status = 'SUPPORTED' AND evidence_status IN ('NOT_RETRIEVED', 'LICENSE_REQUIRED') AND EXISTS ({_SPANNED})"""
 _GRID = "SELECT ledger_id, gate FROM v_runs, (VALUES " + ", ".join(f"('{g}')" for g in GATES) + ") g(gate)"
 _COUNTS = f"SELECT ledger_id, gate, count(o.hit) AS offences FROM ({_GRID}) x LEFT JOIN (SELECT *, 1 AS hit FROM ({_OFFENCES}) y) o USING (ledger_id, gate) GROUP BY ledger_id, gate"
 # a gate is left without input where the ledger number says so: a ledger without reviews, spans or decisions
 _STATES = f"""SELECT ledger_id, gate, offences, CASE WHEN gate = 'G-04' AND n % 5 = 1 THEN 'NOT_APPLICABLE' WHEN gate IN ('G-01', 'G-10') AND n % 7 = 3 THEN 'NOT_EVALUATED'
   WHEN offences > 0 THEN 'FAIL' ELSE 'PASS' END AS state FROM (SELECT *, CAST(substring(ledger_id, 3) AS BIGINT) AS n FROM ({_COUNTS}) c) z"""
-GATE_VIEWS = ("v_claims", "v_deps", "v_runs", "v_reviews", "v_assumptions", "v_decisions", "v_spans")
+GATE_VIEWS = ("v_claims", "v_deps", "v_runs", "v_reviews", "v_assumptions", "v_decisions", "v_spans", "v_bundle", "v_bundle_stored")
 
 
 def gate_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -548,6 +549,7 @@ def gate_counts(spark: SparkSession, sf: str) -> DataFrame:
         refs.derived_requirements(c), ledger_rules.violated_rendering(c, assumptions(spark, sf), s), ledger_rules.reopened_claims(c),
         ledger_rules.blocked_rendering(c, frame(spark, sf, "v_decisions"), s), ledger_rules.stale_claims(c, runs),
         ledger_rules.unescalated_conflict(c, r), ledger_rules.span_coverage(c, s).filter("rule_id = 'V-021'"),
+        ledger_rules.artifact_presence(frame(spark, sf, "v_bundle"), frame(spark, sf, "v_bundle_stored")),
     )
     offences = gates.findings_as_offences(found).unionByName(gates.open_blocking(r)).unionByName(gates.unbacked_assertions(c, s))
     return gates.gate_counts(runs, offences, GATES)

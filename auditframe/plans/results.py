@@ -161,11 +161,9 @@ def objects_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @remembered
 def probes_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """First row of each object, by its own key, as text fields."""
-    df = frame(spark, sf, name)
-    first = df.groupBy("c_nationkey").agg(F.min(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("x"))
-    fields = F.create_map(F.lit("c_custkey"), F.col("x.c_custkey").cast("string"), F.lit("c_name"), F.col("x.c_name"), F.lit("c_mktsegment"), F.coalesce("x.c_mktsegment", F.lit("NA")))
-    return first.select(F.lit("U01").alias("unit"), F.concat(F.lit("customers["), F.col("c_nationkey").cast("string"), F.lit("]")).alias("object"), F.lit("index:1").alias("selection_rule"), fields.alias("fields"))
+    """First, middle and last row of each object, by its own key, as canonical text."""
+    found = dg.keyed_probes(frame(spark, sf, name), "c_nationkey", ["c_custkey"], ["c_custkey", "c_name", "c_mktsegment"])
+    return found.select(F.lit("U01").alias("unit"), F.concat(F.lit("customers["), "entry", F.lit("]")).alias("object"), "selection_rule", "fields")
 
 
 def _digest_of(table: str) -> str:
@@ -176,8 +174,7 @@ def _digest_of(table: str) -> str:
         f"'{c}=' || sha256('col' || chr(10) || '{c}' || chr(10) || CAST(count(*) AS VARCHAR) || chr(10) || string_agg({t}, chr(10) ORDER BY c_custkey))" for c, t in texts.items()
     )
     return f"""SELECT 'U01' AS unit, 'customers[' || CAST(c_nationkey AS VARCHAR) || ']' AS object, count(*) AS rows, 4 AS cols, count(*) FILTER (c_mktsegment IS NULL) AS null_count, min(c_custkey) AS mn, max(c_custkey) AS mx,
-  sha256('obj' || chr(10) || 'frame' || chr(10) || CAST(count(*) AS VARCHAR) || chr(10) || '4' || chr(10) || {cols}) AS digest,
-  arg_min(c_name, c_custkey) AS p_name, arg_min(coalesce(c_mktsegment, 'NA'), c_custkey) AS p_seg FROM {table} GROUP BY c_nationkey"""
+  sha256('obj' || chr(10) || 'frame' || chr(10) || CAST(count(*) AS VARCHAR) || chr(10) || '4' || chr(10) || {cols}) AS digest FROM {table} GROUP BY c_nationkey"""
 
 
 _A, _B = _digest_of("v_table_a"), _digest_of("v_table_b")
@@ -206,13 +203,22 @@ def l3(spark, sf):
     return cp.digest_compare(objects_of(spark, sf, "v_table_a"), objects_of(spark, sf, "v_table_b"))
 
 
-_PAIR = f"(SELECT a.unit, a.object, a.rows AS r1, b.rows AS r2, a.null_count AS n1, b.null_count AS n2, a.mn AS m1, b.mn AS m2, a.mx AS x1, b.mx AS x2, a.p_name AS pn1, b.p_name AS pn2, a.p_seg AS ps1, b.p_seg AS ps2 FROM ({_A}) a JOIN ({_B}) b ON a.object = b.object WHERE a.digest <> b.digest)"
+_PAIR = f"(SELECT a.unit, a.object, a.rows AS r1, b.rows AS r2, a.null_count AS n1, b.null_count AS n2, a.mn AS m1, b.mn AS m2, a.mx AS x1, b.mx AS x2 FROM ({_A}) a JOIN ({_B}) b ON a.object = b.object WHERE a.digest <> b.digest)"
+
+
+def _probe_sql(table: str) -> str:
+    key = "CASE WHEN c_custkey = 0 THEN '0.00000000e+00' ELSE printf('%.8e', c_custkey::DOUBLE) END"
+    return f"""(SELECT 'customers[' || CAST(c_nationkey AS VARCHAR) || ']' AS object, rule, {key} AS c_custkey, c_name, coalesce(c_mktsegment, 'NA') AS c_mktsegment
+  FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS p, count(*) OVER (PARTITION BY c_nationkey) AS n FROM {table}) t
+  JOIN (VALUES ('index:1'), ('index:ceil(n/2)'), ('index:n')) r(rule) ON p = CASE rule WHEN 'index:1' THEN 1 WHEN 'index:n' THEN n ELSE CAST(ceil(n / 2) AS BIGINT) END)"""
+
+
+_PROBED = "\nUNION ALL ".join(f"SELECT p.unit, p.object, 'probe' AS what, a.rule || ' {c}' AS item, a.{c} AS source, b.{c} AS target FROM {_PAIR} p JOIN {_probe_sql('v_table_a')} a ON a.object = p.object JOIN {_probe_sql('v_table_b')} b ON b.object = p.object AND b.rule = a.rule" for c in ("c_custkey", "c_name", "c_mktsegment"))
 
 
 @query("l4_localise", sql_with(*AB, body="SELECT * FROM (" + "\nUNION ALL ".join(
-    f"SELECT unit, object, '{what}' AS what, '{item}' AS item, CAST({x} AS VARCHAR) AS source, CAST({y} AS VARCHAR) AS target FROM {_PAIR} p" for what, item, x, y in [
-        ("shape", "rows", "r1", "r2"), ("shape", "null_count", "n1", "n2"), ("shape", "min", "m1", "m2"), ("shape", "max", "x1", "x2"),
-        ("probe", "index:1 c_custkey", "m1", "m2"), ("probe", "index:1 c_name", "pn1", "pn2"), ("probe", "index:1 c_mktsegment", "ps1", "ps2")]) + ") z WHERE source IS DISTINCT FROM target"))
+    f"SELECT unit, object, 'shape' AS what, '{item}' AS item, CAST({x} AS VARCHAR) AS source, CAST({y} AS VARCHAR) AS target FROM {_PAIR} p"
+    for item, x, y in [("rows", "r1", "r2"), ("null_count", "n1", "n2"), ("min", "m1", "m2"), ("max", "x1", "x2")]) + f"\nUNION ALL {_PROBED}) z WHERE source IS DISTINCT FROM target"))
 def l4(spark, sf):
     return cp.localise(objects_of(spark, sf, "v_table_a"), objects_of(spark, sf, "v_table_b"), probes_of(spark, sf, "v_table_a"), probes_of(spark, sf, "v_table_b"))
 

@@ -61,6 +61,13 @@ UNION ALL SELECT ledger_id, pos, claim_id, claim_type, claim_status, derivation_
 view("v_runs", """
 SELECT ledger_id, ledger_id AS run_id, max(last_checked) AS as_of_date, count(*) AS n_claims FROM v_claims GROUP BY ledger_id
 """, "v_claims")
+view("v_bundle", """
+SELECT ledger_id, name, CASE WHEN name = 'notes.md' AND n % 3 = 0 THEN 'SKIPPED' ELSE 'PRODUCED' END AS status, ledger_id || '/' || name AS path, n
+FROM (SELECT ledger_id, CAST(substring(ledger_id, 3) AS BIGINT) AS n FROM v_runs) r JOIN (VALUES ('claims.json', 1), ('report.md', 2), ('notes.md', 3)) a(name, i) ON i > 0
+""", "v_runs")
+view("v_bundle_stored", """
+SELECT path, CASE WHEN n % 8 = 3 AND name = 'claims.json' THEN 0 ELSE length(path) END AS bytes FROM v_bundle WHERE NOT (name = 'report.md' AND n % 6 = 2) AND NOT (name = 'notes.md' AND n % 2 = 0)
+""", "v_bundle")
 view("v_sources", """
 SELECT ledger_id, source_id, kind, access, sufficient, min(pos) AS pos FROM (
   SELECT """ + _ledger("l_orderkey") + """ AS ledger_id, 'SRC-' || CAST(s_suppkey AS STRING) AS source_id, l_orderkey AS pos,

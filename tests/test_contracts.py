@@ -123,3 +123,14 @@ def test_gaps_and_trends_do_not_depend_on_chunks(spark, chunk):
     rows = [(s, i, float(i if i != 30 else 500)) for s in ("a", "b") for i in range(60)]
     got = trend_breaks(spark.createDataFrame(rows, "s string, i int, v double"), "s", ["i"], "v", chunk_rows=chunk).collect()
     assert sorted((r["s"], r["i"]) for r in got) == [("a", 30), ("a", 31), ("b", 30), ("b", 31)]
+
+
+def test_a_lost_row_is_seen(spark):
+    """P-09 compares the rows that the read observed with the records that were written."""
+    df = table(spark, GOOD)
+    cells = checks.stored_cells(df, DAY)
+    status = lambda c: checks.evaluate(c, df.columns, ["P-09"]).first()
+    whole, lost = status(cells), status(cells.filter("row_index <> 2"))
+    assert (whole["status"], lost["status"]) == ("PASS", "FAIL")
+    assert int(lost["evidence"]["rows_read"]) == int(lost["evidence"]["records_published"]) + 1
+    assert status(checks.checked_cells(df, DAY))["status"] == "NOT_EXERCISED"
