@@ -214,6 +214,21 @@ def _least_shared(n: Column, m: Column) -> Column:
     return F.greatest(F.lit(1), F.least(prefix(n) - n + both, prefix(m) - m + both))
 
 
+def _early(n: Column) -> Column:
+    """So many of its rarest shingles a set needs to meet every set of its size or more that is similar enough (in their prefixes)."""
+    return n - F.ceil(2 * PERCENT * n / (100 + PERCENT)) + 1
+
+
+def _least_met(small: Column, large: Column) -> Column:
+    """Early shingles of the smaller set in the prefix of the larger one that two similar sets have at least.
+
+    Of their ``both`` common shingles in the order of rarity, those missing are behind the early ones or behind the prefix.
+    """
+    both = F.ceil(PERCENT * (small + large) / (100 + PERCENT))
+    prefix = large - F.ceil(PERCENT * large / 100) + 1
+    return F.greatest(F.lit(1), both - F.greatest(small - _early(small), large - prefix))
+
+
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) with the sizes na and nb."""
     return pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
@@ -232,10 +247,11 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, levels: int = LEVELS)
     sizes = nodes.select("node", "n")
     keyed = rows.filter("n > 0").select("source", F.coalesce("doc_id", F.lit(-1)).alias("doc"), "prefix")
     chosen = keyed.join(nodes.select("node", "source", F.coalesce("doc", F.lit(-1)).alias("doc")), ["source", "doc"]).select("node", "prefix")
-    entries = chosen.select("node", F.explode("prefix").alias("s"))
+    placed = chosen.join(sizes, "node").select("node", "n", F.posexplode("prefix").alias("at", "s"))
+    entries = placed.select("node", "s", (F.col("at") < _early(F.col("n"))).alias("early"))
     spans = cut_lineage(entries.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other").select("s", "pivot"))
     # a shingle may be in as many prefixes as it likes: two plain shuffles, so that its rows can be split
-    members = cut_lineage(entries.join(spans, "s").select("s", "node", "pivot"))
+    members = cut_lineage(entries.join(spans, "s").select("s", "node", "pivot", "early"))
 
     subspace, measured, links = members, None, None
     shingles: list[DataFrame] = []
@@ -279,16 +295,18 @@ def crossing(members: DataFrame, measured: DataFrame, groups: DataFrame, sizes:
     named = cut_lineage(sizes.join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component")))
     distance = measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("both") / F.col("either")).alias("d"))
     placed = members.join(distance, ["node", "pivot"], "left").join(named, "node")
-    placed = cut_lineage(placed.select("s", "node", "n", "component", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d")))
+    placed = cut_lineage(placed.select("s", "node", "n", "component", "early", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d")))
     # subspaces of a single component are done
     mixed = cut_lineage(placed.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("s"))
     open_ = cut_lineage(placed.join(mixed, "s"))
-    sides = [open_.select("s", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("d").alias(f"d{x}")) for x in ("a", "b")]
+    # the smaller set brings its early shingles only, so sets that share a frequent passage but differ in the rest do not meet by it
+    sides = [part.select("s", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("d").alias(f"d{x}")) for x, part in (("a", open_.filter("early")), ("b", open_))]
     windows = F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= radius)
-    met = sides[0].join(sides[1], "s").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & windows & _fits(F.col("na"), F.col("nb"), PERCENT))
-    # two linked sets of different components meet in every subspace they share, so the count is that of their shared prefix
+    ordered = F.struct("na", "a") < F.struct("nb", "b")
+    met = sides[0].join(sides[1], "s").filter(ordered & (F.col("ca") != F.col("cb")) & windows & _fits(F.col("na"), F.col("nb"), PERCENT))
+    # two linked sets of different components meet in every subspace they share, so the count is that of what they share
     counted = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return cut_lineage(counted.filter(F.col("k") >= _least_shared(F.col("na"), F.col("nb"))).select("a", "b"))
+    return cut_lineage(counted.filter(F.col("k") >= _least_met(F.col("na"), F.col("nb"))).select("a", "b"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
