@@ -4,10 +4,11 @@ Every word of a piece of text opens one window of up to ``LONGEST`` words (its l
 windows are counted; ROLLUP sums them over successively shorter prefixes, so the count of a shorter phrase is the sum over
 the windows that begin with it, and no n-gram of another length is ever spread out.
 
-Most windows occur once and would all cross the network.  So a window is padded behind its longest beginning that occurs ``LEAST`` times or
-more, as do all its parts: nothing longer can be a candidate, lie in one, or be cut from one, and all shorter prefixes keep
-their counts.  What is that frequent is told by counts over hash cells, first of words and pairs, then of the longer phrases made of
-such pairs: never too low, so no candidate is lost, and where cells are shared something rare is merely not padded away.  Cells are counted range by range in arrays of fixed size,
+Most windows occur once and would all cross the network.  So behind its first word a window is padded from the end of its longest
+beginning that occurs ``LEAST`` times or more, as do all its parts: nothing longer can be a candidate, lie in one, or be cut from
+one, and all shorter prefixes keep their counts.  What is that frequent is told by counts over hash cells, first of pairs, then of the
+longer phrases made of such pairs: never too low, so no candidate is lost, and where cells are shared something rare is merely
+not padded away.  Cells are counted range by range in arrays of fixed size,
 with ranges in proportion to the input's partitions; what is sent to every task is two bitmaps of 2 ** ``BITS`` bits, whatever the input.
 
 Null texts are empty ones, a null lang counts as ``und``; repeated rows all count, doc_id is not used.  Ties of equal score and count go
@@ -33,6 +34,7 @@ BITS, CELL = 27, 24  # bits of the bitmap's index, and of a cell within its rang
 SECTION, HELD, WORDS = 2_000_000, 1_500_000, 400_000  # bytes split, windows held and words remembered at once
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)  # no UTF-8 text holds this byte
 _GAP, _LEAD = re.compile(rb"[ \t\xff]"), re.compile(rb"(?:[ \t]+[^ \t\xff]+){0,%d}" % (LONGEST - 1))
+_PASSES = [(1,), (2, 3)]  # what each bitmap tells of: pairs, then three and four words
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -87,11 +89,11 @@ def _is_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _alive(found: list[np.ndarray], bitmaps: list[np.ndarray]) -> list[np.ndarray]:
-    """Whether the word, pair, and so on at each place is frequent with all its parts; each bitmap tells of two lengths."""
-    out = []
-    for k in range(2 * len(bitmaps)):
-        here = _is_set(bitmaps[k // 2], found[k])
-        out.append(here & out[-1] & _ahead(out[-1], 1) if out else here)
+    """Whether each place has a word, a frequent pair, and so on, all parts of it frequent; bitmaps are those of ``frequent_starts``."""
+    out = [found[0] > 0]
+    for bits, lengths in zip(bitmaps, _PASSES):
+        for k in lengths:
+            out.append(_is_set(bits, found[k]) & out[-1] & _ahead(out[-1], 1))
     return out
 
 
@@ -130,11 +132,11 @@ class _Lang:
         return self.held > HELD or len(self.codes) > WORDS
 
 
-# ---------------------------------------------------------------- words and pairs that are frequent enough
+# ---------------------------------------------------------------- beginnings that are frequent enough
 
 
 def frequent_starts(docs: DataFrame, least: int = LEAST, before: list[bytes] = ()) -> bytes:
-    """Bitmap over hashes of words and pairs, or with their bitmap of phrases of three and four words whose pairs are frequent.
+    """Bitmap over hashes of pairs of neighbours, or with that bitmap of phrases of three and four words whose pairs are frequent.
 
     What occurs ``least`` times or more in its language has its bit set.
     """
@@ -157,12 +159,11 @@ def frequent_starts(docs: DataFrame, least: int = LEAST, before: list[bytes] = (
         for lang, words, own in _words(batches):
             state = langs.setdefault(lang, _Lang(lang))
             found = state.starts(words)[1]
-            if shared.value:
-                alive = _alive(found, [np.frombuffer(x, np.uint8) for x in shared.value])[-1]
-                alive = [alive & _ahead(alive, 1), alive & _ahead(alive, 1) & _ahead(alive, 2)]
-                counted = [found[k][:own][alive[k - 2][:own]] for k in (2, 3)]
-            else:
-                counted = [found[k][:own][found[k][:own] > 0] for k in (0, 1)]
+            alive = _alive(found, [np.frombuffer(x, np.uint8) for x in shared.value])[-1]
+            counted = []
+            for k in _PASSES[len(shared.value)]:
+                alive = alive & _ahead(alive, 1)  # both shorter ones within it
+                counted.append(found[k][:own][alive[:own]])
             hashes += counted
             held += sum(map(len, counted))
             if held > 2 * HELD:
