@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from auditframe.session import cut_lineage, pin_partitions
 
@@ -134,8 +134,3 @@ def assemble_records(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("block", "place", "line")))
     joined = pieces.filter(several).groupBy("file", "record_no").agg(F.array_join(parts["line"], "\n").alias("line"), (F.sum("delims") + 1).cast("int").alias("fields"), F.bool_or("quoted").alias("quoted"), F.bool_or("crlf").alias("crlf"))
     return single.unionByName(joined)
-
-
-def header_names(records: DataFrame, cells: Column) -> DataFrame:
-    """(file, names) of the first record of every file."""
-    return records.filter("record_no = 1").select("file", cells.alias("names"))
