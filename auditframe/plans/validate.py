@@ -12,7 +12,8 @@ from auditframe.sources import ledger as src
 
 def validate_ledgers(ledgers: DataFrame) -> DataFrame:
     """All findings of ledgers given as ``read_ledger`` / ``ledger_state`` returns them."""
-    objects = {k: cut_lineage(v) if k != "item_findings" else v for k, v in src.explode_ledger(ledgers).items()}
+    objects = src.explode_ledger(ledgers)
+    objects["runs"] = cut_lineage(objects["runs"])
     claims, sources = src.typed_claims(objects["claims"]), src.typed_sources(objects["sources"])
     evidence, edges = src.typed_evidence(objects["evidence"]), src.typed_edges(objects["edges"])
     lists = ledgers.filter("state = 'ok' AND try_variant_get(v, '$.claims', 'array<variant>') IS NOT NULL").select("ledger_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditframe.functions.text import is_id_list
 from auditframe.operators.structure import BLOCKING, Raw, _emit, _finding, parsed
-from auditframe.session import cut_lineage
+from auditframe.session import LARGE_ROWS, cut_lineage
 
 LIST_FIELDS = ["claims", "sources", "evidence", "edges"]
 ITEM_LABEL = {"claims": "Claim", "sources": "Sources", "evidence": "Evidence", "edges": "Edges"}
@@ -22,7 +22,7 @@ def ledger_state(ledgers: DataFrame) -> DataFrame:
     opening = F.substring(F.ltrim(F.regexp_replace("raw", r"\A\s+", "")), 1, 1)
     state = F.when(F.col("v").isNull(), "unreadable").when(opening == "{", "ok").otherwise("not_object")
     # parsed once; every later table reads the stored binary form
-    return cut_lineage(ledgers.select("ledger_id", "raw", F.try_parse_json("raw").alias("v")).select("ledger_id", state.alias("state"), "v"))
+    return cut_lineage(ledgers.select("ledger_id", "raw", F.try_parse_json("raw").alias("v")).select("ledger_id", state.alias("state"), "v"), LARGE_ROWS)
 
 
 def root_findings(ledgers: DataFrame) -> DataFrame:
@@ -65,26 +65,34 @@ def explode_ledger(ledgers: DataFrame) -> dict[str, DataFrame]:
             "ledger_id", F.lit(0).alias("pos"), F.lit(0).alias("idx"), F.to_json(F.try_variant_get("v", "$.run", "variant")).alias("raw")
         ).filter(F.json_object_keys("raw").isNotNull())
     }
+    # one pass over the ledgers; whatever comes after reads rows of one item
+    lists = good.select("ledger_id", *[_texts(field).alias(field) for field in LIST_FIELDS])
+    items = cut_lineage(lists.select("ledger_id", F.explode(F.concat(*[_items(field) for field in LIST_FIELDS])).alias("x")).select("ledger_id", "x.*"))
     findings = None
     for field in LIST_FIELDS:
-        items = F.try_variant_get("v", f"$.{field}", "array<variant>")
-        marked = F.transform(
-            items,
-            lambda x: F.struct(x.alias("item"), F.coalesce(F.to_json(x).startswith("{"), F.lit(False)).alias("is_object")),
-        )
-        numbered = F.transform(
-            marked, lambda x, i: F.struct(i.alias("pos"), x["is_object"].alias("is_object"), F.to_json(x["item"]).alias("raw"))
-        )
-        objects = good.select("ledger_id", F.posexplode(F.filter(numbered, lambda x: x["is_object"])).alias("idx", "x"))
-        out[field] = objects.select("ledger_id", "x.pos", "idx", "x.raw")
-        others = good.select("ledger_id", F.explode(F.filter(numbered, lambda x: ~x["is_object"])).alias("x")).select("ledger_id", "x.pos")
+        own = items.filter(F.col("field") == field)
+        out[field] = own.filter("idx IS NOT NULL").select("ledger_id", "pos", "idx", "raw")
         text = F.concat(F.lit(ITEM_LABEL[field] + (" at index " if field == "claims" else " item at index ")), F.col("pos").cast("string"), F.lit(" must be an object."))
-        part = _emit(others, [_finding(text)])
+        part = _emit(own.filter("idx IS NULL").select("ledger_id", "pos"), [_finding(text)])
         findings = part if findings is None else findings.unionByName(part)
     out["item_findings"] = findings
     return out
 
 
+def _texts(field: str) -> Column:
+    """(pos, raw) of every item of a list; raw is null for items that are not objects."""
+    texts = F.transform(F.try_variant_get("v", f"$.{field}", "array<variant>"), lambda x: F.to_json(x))
+    return F.transform(texts, lambda x, i: F.struct(i.alias("pos"), F.when(x.startswith("{"), x).alias("raw")))
+
+
+def _items(field: str) -> Column:
+    """(field, pos, idx, raw) of every item of a list of ``_texts``; idx is null for items that are not objects."""
+    listed = F.coalesce(F.col(field), F.array().cast("array<struct<pos:int,raw:string>>"))
+    item = lambda x, idx: F.struct(F.lit(field).alias("field"), x["pos"].alias("pos"), idx.cast("int").alias("idx"), x["raw"].alias("raw"))
+    objects = F.transform(F.filter(listed, lambda x: x["raw"].isNotNull()), item)
+    return F.concat(objects, F.transform(F.filter(listed, lambda x: x["raw"].isNull()), lambda x: item(x, F.lit(None))))
+
+
 def typed_claims(objects: DataFrame) -> DataFrame:
     raw = Raw(F.col("v"))
     deps = raw.strings("depends_on")

@@ -162,3 +162,19 @@ def test_longest_path(spark):
     rows = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "c"), ("d", "e"), ("y", "x"), ("z", "y"), ("q", "z")]
     assert longest_path(spark.createDataFrame([("", *r) for r in rows], EDGES)) == 6
     assert longest_path(spark.createDataFrame([], EDGES)) == 0
+
+
+def test_large_ledgers_are_stored_in_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    from auditframe.sources.ledger import explode_ledger
+
+    claim = F.concat(F.lit('{"claim_id":"C-'), F.col("i").cast("string"), F.lit('","x":"'), F.sha2(F.concat_ws("-", "id", "i"), 256), F.lit('"}'))
+    items = spark.range(0, 120, 1, 1).select("id", F.explode(F.sequence(F.lit(1), F.lit(3000))).alias("i")).select("id", "i", claim.alias("raw"))
+    raw = items.groupBy(F.concat(F.lit("R-"), "id").alias("ledger_id")).agg(F.concat(F.lit('{"run":{},"claims":[5,'), F.array_join(F.collect_list("raw"), ","), F.lit("]}")).alias("raw"))
+    ledgers = ledger_state(raw.coalesce(1))
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in ledgers.inputFiles()]
+    sizes = [g.row_group(i).total_byte_size for g in groups for i in range(g.num_row_groups)]
+    assert sum(sizes) > 28 << 20 and max(sizes) < 20 << 20
+    claims = explode_ledger(ledgers)["claims"]
+    assert claims.agg(F.count("*"), F.min("pos"), F.max(F.abs(F.col("pos") - F.col("idx") - 1))).first()[:] == (360_000, 1, 0)
