@@ -112,3 +112,18 @@ def test_csv_reader(spark, tmp_path):
 def test_positional_reader(spark, tmp_path):
     (tmp_path / "k.txt").write_bytes("a|\xfc|c\nd|e\n".encode("latin-1"))
     assert [tuple(r)[1:] for r in dl.read_positional(spark, str(tmp_path), ["p", "q", "r"]).orderBy("p").collect()] == [("a", "\xfc", "c"), ("d", "e", None)]
+
+
+def test_block_digests_equal_their_sql_beyond_two_levels(spark):
+    import duckdb
+
+    from auditframe.operators.digest import block_digests
+    from auditframe.plans import results
+    from auditframe.plans.views import sql_with
+
+    sf, block = "/root/testdata/sf0.001", 10  # 1,500 rows: four levels
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    want = con.execute(sql_with("s_small", body=results._tree_sql(block))).fetchall()
+    got = [tuple(r) for r in block_digests(results.small(spark, sf), results.KEYS, block).select("column", "rows", "digest", "canonicalisation").collect()]
+    assert sorted(got) == sorted(want) and len(got) == 6
