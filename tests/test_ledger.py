@@ -178,3 +178,17 @@ def test_large_ledgers_are_stored_in_small_row_groups(spark):
     assert sum(sizes) > 28 << 20 and max(sizes) < 20 << 20
     claims = explode_ledger(ledgers)["claims"]
     assert claims.agg(F.count("*"), F.min("pos"), F.max(F.abs(F.col("pos") - F.col("idx") - 1))).first()[:] == (360_000, 1, 0)
+
+
+def test_longest_path_of_a_shallow_graph_needs_no_search_for_cycles(spark, monkeypatch):
+    from auditframe.operators import contraction
+
+    layers = spark.createDataFrame([("", f"n{k}-{i}", f"n{k + 1}-{j}") for k in range(5) for i in range(3) for j in range(3)], EDGES)
+    turn = spark.createDataFrame([("", "n5-0", "n1-1")], EDGES)
+    deep = spark.createDataFrame([("", *e) for k in range(6) for e in ((f"c{k}", f"c{k + 1}"), (f"c{k}", f"leaf{k}"))] + [("", "c6", "c5")], EDGES)
+    with monkeypatch.context() as m:
+        m.setattr(contraction, "without_dead_ends", None)
+        assert longest_path(layers) == 5
+        assert longest_path(layers.unionByName(turn)) is None
+    monkeypatch.setattr(contraction, "PEELED", 1)
+    assert longest_path(deep) is None and longest_path(layers) == 5
