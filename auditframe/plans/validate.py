@@ -11,7 +11,7 @@ from auditframe.sources import ledger as src
 
 
 def validate_ledgers(ledgers: DataFrame) -> DataFrame:
-    """All findings of ledgers given as ``read_ledger`` / ``ledger_state`` returns them."""
+    """All findings of stored ledgers, as ``ledger_state`` returns them."""
     objects = src.explode_ledger(ledgers)
     objects["runs"] = cut_lineage(objects["runs"])
     claims, sources = src.typed_claims(objects["claims"]), src.typed_sources(objects["sources"])
@@ -27,4 +27,4 @@ def validate_ledgers(ledgers: DataFrame) -> DataFrame:
 
 
 def validate_path(spark: SparkSession, path: str) -> DataFrame:
-    return validate_ledgers(src.read_ledger(spark, path))
+    return validate_ledgers(src.stored(src.read_ledger(spark, path)))

@@ -13,16 +13,27 @@ ITEM_LABEL = {"claims": "Claim", "sources": "Sources", "evidence": "Evidence", "
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ledger file: ``(ledger_id, state, v)``; state is ``ok``, ``not_object`` or ``unreadable``."""
+    """One row per ledger file: ``(ledger_id, state, v)``; state is ``ok``, ``not_object`` or ``unreadable``.
+
+    Nothing is stored; what reads the ledgers more than once stores them first.
+    """
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("ledger_id"), F.col("value").alias("raw"))
-    return ledger_state(text)
+    return parsed_state(text)
 
 
 def ledger_state(ledgers: DataFrame) -> DataFrame:
+    """Ledgers ``(ledger_id, raw)`` as ``read_ledger`` gives them, parsed once: every later table reads the stored binary form."""
+    return stored(parsed_state(ledgers))
+
+
+def stored(ledgers: DataFrame) -> DataFrame:
+    return cut_lineage(ledgers, LARGE_ROWS)
+
+
+def parsed_state(ledgers: DataFrame) -> DataFrame:
     opening = F.substring(F.ltrim(F.regexp_replace("raw", r"\A\s+", "")), 1, 1)
     state = F.when(F.col("v").isNull(), "unreadable").when(opening == "{", "ok").otherwise("not_object")
-    # parsed once; every later table reads the stored binary form
-    return cut_lineage(ledgers.select("ledger_id", "raw", F.try_parse_json("raw").alias("v")).select("ledger_id", state.alias("state"), "v"), LARGE_ROWS)
+    return ledgers.select("ledger_id", "raw", F.try_parse_json("raw").alias("v")).select("ledger_id", state.alias("state"), "v")
 
 
 def root_findings(ledgers: DataFrame) -> DataFrame:

@@ -192,3 +192,15 @@ def test_longest_path_of_a_shallow_graph_needs_no_search_for_cycles(spark, monke
         assert longest_path(layers.unionByName(turn)) is None
     monkeypatch.setattr(contraction, "PEELED", 1)
     assert longest_path(deep) is None and longest_path(layers) == 5
+
+
+def test_reading_ledgers_stores_nothing(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from auditframe.sources import ledger as src
+
+    (tmp_path / "a.json").write_text('{"claims": [],\n "run": {}}')
+    (tmp_path / "b.json").write_text("[1]")
+    (tmp_path / "c.json.gz").write_bytes(gzip.compress(b"{"))
+    monkeypatch.setattr(src, "cut_lineage", None)
+    assert sorted(r["state"] for r in src.read_ledger(spark, str(tmp_path)).collect()) == ["not_object", "ok", "unreadable"]
