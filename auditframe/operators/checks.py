@@ -232,6 +232,16 @@ def stored_cells(df: DataFrame, valuation_date: str, coerced: list[str] | None =
     return cells.withColumn(ROWS_READ, F.lit(seen.get["rows"]).cast("bigint"))
 
 
+def cells_for(df: DataFrame, valuation_date: str, coerced: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """Cells for the chosen checks.
+
+    They are stored when all checks are chosen or the rows read count; a few checks read them in passing, so that no more is
+    computed than their columns.
+    """
+    stored = only is None or "P-09" in only
+    return (stored_cells if stored else checked_cells)(df, valuation_date, coerced)
+
+
 def evaluate(cells: DataFrame, header: list[str], only: list[str] | None = None) -> DataFrame:
     """(id, severity, status, evidence map) for the chosen checks; ``header`` holds the received column names.
 

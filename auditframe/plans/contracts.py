@@ -557,7 +557,9 @@ def _pre_body(ids: list[str]) -> str:
 def _register_check(name: str, ids: list[str] | None) -> None:
     @query(name, sql_with("o_six", body=_pre_body(ids or list(_PRE))))
     def run(spark, sf):
-        return checks.evidence_text(checks.evaluate(checked(spark, sf), contracts(spark, sf).columns, ids))
+        df = contracts(spark, sf)
+        cells = checked(spark, sf) if ids is None else checks.cells_for(df, DAY, only=ids)
+        return checks.evidence_text(checks.evaluate(cells, df.columns, ids))
 
 
 for _n, _ids in {

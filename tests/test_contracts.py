@@ -134,3 +134,15 @@ def test_a_lost_row_is_seen(spark):
     assert (whole["status"], lost["status"]) == ("PASS", "FAIL")
     assert int(lost["evidence"]["rows_read"]) == int(lost["evidence"]["records_published"]) + 1
     assert status(checks.checked_cells(df, DAY))["status"] == "NOT_EXERCISED"
+
+
+def test_a_few_checks_are_read_in_passing(spark, monkeypatch):
+    """Only the columns of the chosen checks are computed: nothing is stored, and no date is parsed for the amounts."""
+    df = table(spark, BAD, HEADER + ["surplus"])
+    whole = {r["id"]: tuple(r) for r in checks.evidence_text(checks.preconditions(df, DAY)).collect()}
+    monkeypatch.setattr(checks, "cut_lineage", lambda *a: pytest.fail("stored"))
+    for only in (["P-06"], ["P-11"], ["P-13"], ["FND-11"]):
+        cells = checks.cells_for(df, DAY, only=only)
+        assert [tuple(r) for r in checks.evidence_text(checks.evaluate(cells, df.columns, only)).collect()] == [whole[i] for i in only]
+    amounts = checks.evaluate(checks.cells_for(df, DAY, only=["P-06"]), df.columns, ["P-06"])
+    assert "Tilgungsbeginn" not in amounts._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
