@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from auditframe.session import pin_partitions
+from auditframe.session import cut_lineage, pin_partitions
 
 _ROW_BITS = 1 << 33  # monotonically_increasing_id: partition number above, row number below this bit
 
@@ -49,7 +49,8 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
 
     Equal values are counted before the sort, so no value is too frequent for a partition.
     """
-    counted = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    # written, as a range partition reads its rows twice and the values may cost much
+    counted = cut_lineage(df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")))
     # missing values leave only here: a filter above would be pushed into, and repeat, the expression behind the value
     pinned = pin_partitions(counted.repartitionByRange("v").sortWithinPartitions("v")).filter("v IS NOT NULL")
     placed = pinned.withColumn("__pid", F.spark_partition_id()).join(F.broadcast(partition_offsets(pinned, F.col("n"))), "__pid")
