@@ -127,3 +127,20 @@ def test_block_digests_equal_their_sql_beyond_two_levels(spark):
     want = con.execute(sql_with("s_small", body=results._tree_sql(block))).fetchall()
     got = [tuple(r) for r in block_digests(results.small(spark, sf), results.KEYS, block).select("column", "rows", "digest", "canonicalisation").collect()]
     assert sorted(got) == sorted(want) and len(got) == 6
+
+
+def test_a_listing_starts_few_tasks(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"part={i}").mkdir()
+        (tmp_path / f"part={i}" / "x").write_text("a" * (i + 1))
+    before = spark.conf.get(dl.LISTING_TASKS)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        files = dl.stored_files(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(dl.LISTING_TASKS) == before
+    assert sorted(r["bytes"] for r in files.collect()) == list(range(1, 101))
