@@ -144,3 +144,12 @@ def test_a_listing_starts_few_tasks(spark, tmp_path):
     assert stages and max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
     assert spark.conf.get(dl.LISTING_TASKS) == before
     assert sorted(r["bytes"] for r in files.collect()) == list(range(1, 101))
+
+
+def test_sinks_compute_the_book_once(spark, monkeypatch):
+    from auditframe.plans import results
+
+    read, write = {}, dl.write_json
+    monkeypatch.setattr(dl, "write_json", lambda df, path: (read.update(files=df.inputFiles()), write(df, path)))
+    rows = {r["rows"] for r in results.a11(spark, "/root/testdata/sf0.001").collect()}
+    assert rows == {1500, 1504} and read["files"] and all("/parquet-" in f for f in read["files"])
