@@ -153,3 +153,19 @@ def test_sinks_compute_the_book_once(spark, monkeypatch):
     monkeypatch.setattr(dl, "write_json", lambda df, path: (read.update(files=df.inputFiles()), write(df, path)))
     rows = {r["rows"] for r in results.a11(spark, "/root/testdata/sf0.001").collect()}
     assert rows == {1500, 1504} and read["files"] and all("/parquet-" in f for f in read["files"])
+
+
+def test_lines_are_dealt_once_for_both_histograms(spark, monkeypatch):
+    """A range partition reads its rows twice; beyond that nothing may make the lines again."""
+    from auditframe.plans import results
+
+    made = spark.sparkContext.accumulator(0)
+
+    def make(rows):
+        for r in rows:
+            made.add(1)
+            yield ("f", r.id, f"{r.id},x")
+
+    lines = spark.createDataFrame(spark.range(50).rdd.mapPartitions(make), "file string, line_no bigint, line string")
+    monkeypatch.setattr(results, "contract_lines", lambda *a: lines)
+    assert [tuple(r) for r in results.a7(spark, "").collect()] == [("f", 2, 50, 50, 0)] and made.value <= 100
