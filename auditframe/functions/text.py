@@ -28,8 +28,8 @@ def trim_cell(col: Column) -> Column:
 
 
 def has_content(col: Column) -> Column:
-    """True when a string holds something besides white space; false for null."""
-    return F.coalesce(F.length(F.trim(col, F.lit(LEDGER_WHITESPACE))) > 0, F.lit(False))
+    """True when a string holds something besides white space; false for null.  Text that begins in visible ASCII needs no trimming."""
+    return F.coalesce(F.ascii(col).between(33, 126) | (F.length(F.trim(col, F.lit(LEDGER_WHITESPACE))) > 0), F.lit(False))
 
 
 def is_claim_id(col: Column) -> Column:

@@ -93,8 +93,11 @@ class Raw:
     def __init__(self, variant: Column):
         self.variant = variant
 
+    def get(self, name: str, kind: str) -> Column:
+        return F.try_variant_get(self.variant, f"$.{name}", kind)
+
     def field(self, name: str) -> Column:
-        return F.try_variant_get(self.variant, f"$.{name}", "variant")
+        return self.get(name, "variant")
 
     def type(self, name: str) -> Column:
         return F.schema_of_variant(self.field(name))
@@ -107,19 +110,19 @@ class Raw:
 
     def string(self, name: str) -> Column:
         """The text of a string field; null for anything else."""
-        return F.when(self.type(name) == "STRING", F.try_variant_get(self.variant, f"$.{name}", "string"))
+        return F.when(self.type(name) == "STRING", self.get(name, "string"))
 
     def strings(self, name: str) -> Column:
         """The items of a list made of strings only; null for anything else."""
-        items = F.try_variant_get(self.variant, f"$.{name}", "array<variant>")
+        items = self.get(name, "array<variant>")
         all_text = F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
-        texts = F.try_variant_get(self.variant, f"$.{name}", "array<string>")
+        texts = self.get(name, "array<string>")
         return F.when(F.coalesce(self.type(name).startswith("ARRAY"), F.lit(False)) & all_text, texts)
 
     def shown(self, name: str) -> Column:
         """Text of any value for messages: None, True/False, plain text, numbers, JSON for nested values."""
         kind = self.type(name)
-        text = F.try_variant_get(self.variant, f"$.{name}", "string")
+        text = self.get(name, "string")
         return (
             F.when(kind.isNull() | (kind == "VOID"), "None")
             .when(kind == "BOOLEAN", F.initcap(text))
@@ -128,10 +131,40 @@ class Raw:
         )
 
 
+class Taken(Raw):
+    """``Raw`` over the columns of ``taken``: fields and their types are there already and not sought again by every rule."""
+
+    def __init__(self):
+        super().__init__(F.col("v"))
+
+    def get(self, name: str, kind: str) -> Column:
+        return F.try_variant_get(self.field(name), "$", kind)
+
+    def field(self, name: str) -> Column:
+        return F.col(f"v.{name}")
+
+    def type(self, name: str) -> Column:
+        return F.col(f"type_{name}")
+
+    def string(self, name: str) -> Column:
+        return F.when(self.type(name) == "STRING", F.col(f"text.{name}"))
+
+
 def parsed(objects: DataFrame) -> DataFrame:
     return objects.withColumn("v", F.try_parse_json("raw"))
 
 
+def taken(objects: DataFrame, names: list[str]) -> DataFrame:
+    """Objects with the named fields taken out of their text once.
+
+    ``v`` holds them as variants, ``type_<name>`` the type of each, ``text`` their texts: reading a string out of a variant builds a
+    cast for every value, the JSON reader does not.
+    """
+    shape = {kind: ", ".join(f"`{n}` {kind}" for n in names) for kind in ("variant", "string")}
+    fields = parsed(objects).withColumns({"v": F.try_variant_get("v", "$", f"struct<{shape['variant']}>"), "text": F.from_json("raw", shape["string"])})
+    return fields.withColumns({f"type_{n}": F.schema_of_variant(f"v.{n}") for n in names})
+
+
 def _finding(message: Column, claim_id: Column | None = None, rule: str = "V-000") -> Column:
     location = F.lit(None).cast("string") if claim_id is None else claim_id
     return F.struct(
@@ -140,10 +173,15 @@ def _finding(message: Column, claim_id: Column | None = None, rule: str = "V-000
 
 
 def _emit(objects: DataFrame, findings: list[Column] | Column) -> DataFrame:
-    """Explode the findings of each object; rows without findings vanish."""
+    """Explode the findings of each object; rows without findings vanish.
+
+    A list is computed in a projection of its own, which is compiled; inside a generator or a higher-order function it would be interpreted.
+    """
     if isinstance(findings, list):
-        findings = F.array_compact(F.array(*findings))
-    exploded = objects.select("ledger_id", F.explode(findings).alias("f"))
+        listed = objects.select("ledger_id", F.array(*findings).alias("found"))
+        exploded = listed.select("ledger_id", F.explode_outer("found").alias("f")).filter(F.col("f").isNotNull())
+    else:
+        exploded = objects.select("ledger_id", F.explode(findings).alias("f"))
     return exploded.select("ledger_id", "f.rule_id", "f.severity", "f.message", "f.claim_id")
 
 
@@ -229,7 +267,7 @@ def _shape_holds(raw: Raw, field: str, shape: str, list_items_filled: bool) -> C
         items = raw.strings(field)
         holds = F.coalesce(F.forall(items, has_content), F.lit(False)) if list_items_filled else items.isNotNull()
     elif base == "a positive integer":
-        number = F.try_variant_get(raw.variant, f"$.{field}", "bigint")
+        number = raw.get(field, "bigint")
         holds = (raw.type(field) == "BIGINT") & (number >= 1)
     else:
         raise ValueError(f"unknown shape {shape!r}")
@@ -239,7 +277,7 @@ def _shape_holds(raw: Raw, field: str, shape: str, list_items_filled: bool) -> C
 
 def check_types(objects: DataFrame, kind: str) -> DataFrame:
     """Field shapes: text, booleans, dates, lists, the protocol version and object identifiers."""
-    raw = Raw(F.col("v"))
+    raw = Taken()
     location = _location(kind, raw)
     checks = []
     if kind == "claims":
@@ -257,7 +295,8 @@ def check_types(objects: DataFrame, kind: str) -> DataFrame:
         right = F.coalesce(raw.string("prompt_version") == voc.PROTOCOL_VERSION, F.lit(False))
         text = F.concat(_subject(kind, raw), F.lit(f" field 'prompt_version' must equal '{voc.PROTOCOL_VERSION}'."))
         checks.append(F.when(raw.present("prompt_version") & ~right, _finding(text)))
-    return _emit(parsed(objects), checks)
+    names = [*SHAPES[kind], *([ID_FIELD[kind]] if kind in ID_FIELD else []), *(["prompt_version"] if kind in ("runs", "evidence") else [])]
+    return _emit(taken(objects, names), checks)
 
 
 def check_run_maps(runs: DataFrame) -> DataFrame:
