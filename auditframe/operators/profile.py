@@ -123,10 +123,10 @@ def date_stats(df: DataFrame, columns: list[str], parsed: dict[str, str] | None
 
 def first_offenders(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
     """The unreadable cells of each date column ranked in received order; a report may ask for the first ones only."""
-    bad = F.array_compact(
-        F.array(*[F.when(date_class(F.col(c)).startswith("unreadable"), F.struct(F.lit(c).alias("field"), F.col(c).alias("value"))) for c in columns])
-    )
-    cells = df.select("row_index", F.explode(bad).alias("x")).select("x.field", "row_index", "x.value")
+    # computed in a projection of its own, which is compiled; inside a generator it would be interpreted
+    bad = F.array(*[F.when(date_class(F.col(c)).startswith("unreadable"), F.struct(F.lit(c).alias("field"), F.col(c).alias("value"))) for c in columns])
+    listed = df.select("row_index", bad.alias("bad")).select("row_index", F.explode_outer("bad").alias("x"))
+    cells = listed.filter(F.col("x").isNotNull()).select("x.field", "row_index", "x.value")
     if limit is None:
         return rank_within(cells, ["field"], ["row_index"], "rank")
     rank = F.row_number().over(Window.partitionBy("field").orderBy("row_index"))  # ranks are cut before the shuffle
