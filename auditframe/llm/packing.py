@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from auditframe.llm.common import cut_lineage, is_exotic, pick, table
 
 CAPACITY, SEPARATOR = 2048, 0
-BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 3, 4
+BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 8, 24
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _CACHED_CHARS, _CACHE_ROWS = 48, 600_000
 
