@@ -226,9 +226,29 @@ def unknown_fields(objects: DataFrame, kind: str) -> DataFrame:
     return _emit(parsed(objects), found)
 
 
+def _doubtful(objects: DataFrame, fields: list[str], fine: Column) -> DataFrame:
+    """``parsed``, but ``v`` is null where ``fine`` holds for ``words``, the texts of the fields.
+
+    The JSON reader gives the texts for less than parsing costs.  Columns, not a filter: that would build the text again for each mention.
+    """
+    words = F.from_json("raw", ", ".join(f"`{f}` string" for f in fields))
+    return objects.withColumn("words", words).withColumn("v", F.when(~F.coalesce(fine, F.lit(False)), F.try_parse_json("raw")))
+
+
+def _in_vocabulary(fields: dict[str, list[str]], absent: bool = True) -> Column:
+    """True where every field holds a word of its vocabulary (or is absent, if that is fine too); none of these words is the text of a number, a truth value or a
+    nested value.  Names stand in a text as they are unless it has escapes, and such a text is never fine."""
+    fine = ~F.col("raw").contains("\\")
+    for field, values in fields.items():
+        held = F.coalesce(F.col(f"words.{field}").isin(values), F.lit(False))
+        fine = fine & (held | ~F.col("raw").contains(f'"{field}"') if absent else held)
+    return fine
+
+
 def check_vocab(objects: DataFrame, kind: str) -> DataFrame:
     """Values outside their fixed vocabulary (a value of another type is outside too)."""
     raw = Raw(F.col("v"))
+    fields = VOCABULARY.get(kind, {}) | ({"retrieval_method": voc.RETRIEVAL_METHODS} if kind == "evidence" else {})
     location = _location(kind, raw)
     checks = []
     for field, values in VOCABULARY.get(kind, {}).items():
@@ -239,7 +259,7 @@ def check_vocab(objects: DataFrame, kind: str) -> DataFrame:
         allowed = F.coalesce(raw.string("retrieval_method").isin(voc.RETRIEVAL_METHODS), F.lit(False))
         text = F.concat(_subject(kind, raw), F.lit(" has invalid retrieval_method="), raw.shown("retrieval_method"), F.lit("."))
         checks.append(F.when(has_content(raw.string("evidence_id")) & ~allowed, _finding(text)))
-    return _emit(parsed(objects), checks)
+    return _emit(_doubtful(objects, list(fields), _in_vocabulary(fields, absent=kind != "evidence")), checks)
 
 
 def check_stances(edges: DataFrame) -> DataFrame:
@@ -249,7 +269,8 @@ def check_stances(edges: DataFrame) -> DataFrame:
     allowed = F.coalesce(raw.string("stance").isin(voc.STANCES), F.lit(False))
     bad = F.coalesce(raw.string("type") == "EVIDENCED_BY", F.lit(False)) & ends & ~allowed
     text = F.concat(F.lit("EVIDENCED_BY edge has invalid stance="), raw.shown("stance"), F.lit("."))
-    return _emit(parsed(edges), [F.when(bad, _finding(text, raw.string("from")))])
+    fine = F.coalesce(F.col("words.stance").isin(voc.STANCES), F.lit(False)) | (F.col("words.type") != "EVIDENCED_BY")
+    return _emit(_doubtful(edges, ["type", "stance"], fine), [F.when(bad, _finding(text, raw.string("from")))])
 
 
 def _shape_holds(raw: Raw, field: str, shape: str, list_items_filled: bool) -> Column:
