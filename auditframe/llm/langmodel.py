@@ -6,7 +6,9 @@ class of its own, all other tokens fall into classes by their last two bytes, a
 probabilities of a position sum to 1.
 
 Training: a position's representation is the sum of its context's vectors, weighted by place; noise-contrastive estimation tells
-the token that followed from ``NOISE`` draws of the class unigram, which a minibatch shares so that all is matrix products.
+the token that followed from ``NOISE`` draws of the class unigram, which a minibatch shares so that all is matrix products.  Classes that
+follow each other form groups, as many as a group has members, and the group that followed is learnt the same way.  The probability of a class is that of
+its group times its share within the group, each normalised in full, so a position costs the square root of the classes.
 Every position of every training document is trained on once, in one of ``ROUNDS`` rounds.  In a round every partition trains from
 the same start and Spark averages the parameters by the number of examples.  What is gathered, counts and examples, grows with the corpus.
 
@@ -30,7 +32,7 @@ from auditframe.llm.common import ascii_words, cut_lineage, held_out, pick, tabl
 
 HEAD, WORDS, SUFFIXES = 100_000, 192, 63
 DIMENSIONS, CONTEXT, NOISE, ROUNDS, BATCH, RATE = 16, 4, 64, 2, 1024, 0.1
-LOGITS = 1 << 22  # numbers held at once when scoring
+POSITIONS = 1 << 14  # scored at once
 END = b""  # no word is empty
 _FLUSH = 400_000
 
@@ -122,88 +124,135 @@ def make_classes(counts: DataFrame) -> Classes:
 # ---------------------------------------------------------------- the model
 
 
+def group_starts(classes: int) -> np.ndarray:
+    """First class of each group; classes that follow each other form groups, as many as they have members."""
+    return np.arange(0, classes, group_size(classes))
+
+
+def group_size(classes: int) -> int:
+    return math.isqrt(classes - 1) + 1
+
+
+def log_shares(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of each row at one of its columns; the logits are overwritten."""
+    logits -= logits.max(1, keepdims=True)
+    own = logits[np.arange(len(at)), at].astype(np.float64)
+    return own - np.log(np.exp(logits, out=logits).sum(1, dtype=np.float64))
+
+
 @dataclasses.dataclass
 class LogBilinear:
     context: np.ndarray  # class, dimension
     output: np.ndarray  # class, dimension
     bias: np.ndarray
+    group: np.ndarray  # group of classes, dimension
+    group_bias: np.ndarray
     place: np.ndarray  # place before the token, dimension
 
     @classmethod
     def start(cls, unigram: np.ndarray, seed: int = 7) -> "LogBilinear":
         rng = np.random.default_rng(seed)
-        v = len(unigram)
-        near = rng.normal(0, 0.1, (v, DIMENSIONS))
-        return cls(near.astype(np.float32), rng.normal(0, 0.1, (v, DIMENSIONS)).astype(np.float32), np.log(unigram).astype(np.float32), np.ones((CONTEXT, DIMENSIONS), np.float32))
+        of_groups = np.add.reduceat(unigram, group_starts(len(unigram)))
+        near = lambda rows: rng.normal(0, 0.1, (rows, DIMENSIONS)).astype(np.float32)
+        log = lambda share: np.log(share).astype(np.float32)
+        return cls(near(len(unigram)), near(len(unigram)), log(unigram), near(len(of_groups)), log(of_groups), np.ones((CONTEXT, DIMENSIONS), np.float32))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.context.ravel(), self.output.ravel(), self.bias, self.place.ravel()]).astype(np.float64)
+        return np.concatenate([getattr(self, f.name).ravel() for f in dataclasses.fields(self)]).astype(np.float64)
 
-    @classmethod
-    def of_flat(cls, w: np.ndarray, classes: int) -> "LogBilinear":
-        w, n = w.astype(np.float32), classes * DIMENSIONS
-        return cls(w[:n].reshape(classes, DIMENSIONS), w[n : 2 * n].reshape(classes, DIMENSIONS), w[2 * n : 2 * n + classes], w[2 * n + classes :].reshape(CONTEXT, DIMENSIONS))
+    def of_flat(self, w: np.ndarray) -> "LogBilinear":
+        """A model of the same shapes with these parameters."""
+        shapes = [getattr(self, f.name).shape for f in dataclasses.fields(self)]
+        ends = np.cumsum([math.prod(s) for s in shapes])
+        return LogBilinear(*(part.reshape(s) for part, s in zip(np.split(w.astype(np.float32), ends[:-1]), shapes)))
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
         """Representation of each position from the classes before it (rows: positions, columns: places)."""
-        out = self.context[before[:, 0]] * self.place[0]
+        out = self.context.take(before[:, 0], 0) * self.place[0]
         for j in range(1, CONTEXT):
-            out += self.context[before[:, j]] * self.place[j]
+            out += self.context.take(before[:, j], 0) * self.place[j]
         return out
 
     def log_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised natural log probability of each target class."""
-        # the bias is one more dimension, so that the logits are written once
-        r = np.concatenate([self.predicted(before), np.ones((len(target), 1), np.float32)], 1)
-        weights = np.concatenate([self.output, self.bias[:, None]], 1)
-        logits = r @ weights.T
-        at = logits[np.arange(len(target)), target].astype(np.float64)
-        if np.sqrt((r**2).sum(1).max()) * np.sqrt((weights**2).sum(1).max()) > 60:  # an exponential could overflow
-            np.clip(logits, -60, 60, out=logits)
-            at = np.clip(at, -60, 60)
-        np.exp(logits, out=logits)
-        return at - np.log(logits.sum(1, dtype=np.float64))
+        """Normalised natural log probability of each target class: that of its group times its share within the group."""
+        r, size = self.predicted(before), group_size(len(self.bias))
+        groups, members = np.divmod(target, size)
+        out = log_shares(r @ self.group.T + self.group_bias, groups)
+        order = np.argsort(groups, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1) if len(order) else []:
+            own = slice(groups[rows[0]] * size, (groups[rows[0]] + 1) * size)
+            out[rows] += log_shares(r[rows] @ self.output[own].T + self.bias[own], members[rows])
+        return out
+
+
+def summed_rows(rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct places, sum of the rows at each)."""
+    order = np.argsort(places.astype(np.min_scalar_type(places.max())), kind="stable")  # numbers of 16 bits are sorted by their digits
+    ordered = places[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[starts], np.add.reduceat(rows.take(order, 0), starts, axis=0)
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)); x is overwritten."""
+    np.negative(np.clip(x, -30, 30, out=x), out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad steps on minibatches."""
+    """Noise-contrastive estimation, of the class and of its group, with Adagrad steps on minibatches.
+
+    A step changes only the rows that its positions and draws touch: Adagrad leaves a parameter without gradient as it is.
+    """
 
     def __init__(self, model: LogBilinear, unigram: np.ndarray, seed: int):
         self.m = LogBilinear(*(np.array(getattr(model, f.name)) for f in dataclasses.fields(model)))
-        self.log_noise = (np.log(unigram) + np.log(NOISE)).astype(np.float32)
-        self.cumulative, self.rng = np.cumsum(unigram), np.random.default_rng(seed)
+        of_groups = np.add.reduceat(unigram, group_starts(len(unigram)))
+        self.log_noise, self.log_group_noise = ((np.log(share) + np.log(NOISE)).astype(np.float32) for share in (unigram, of_groups))
+        self.cumulative, self.group_cumulative, self.rng = np.cumsum(unigram), np.cumsum(of_groups), np.random.default_rng(seed)
         self.squares = {f.name: np.full_like(getattr(model, f.name), 1e-2) for f in dataclasses.fields(model)}
-        self.examples = 0
+        self.size, self.examples = group_size(len(unigram)), 0
 
     def step(self, before: np.ndarray, target: np.ndarray) -> None:
         m, n = self.m, len(target)
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(self.cumulative) - 1)
         r = m.predicted(before)
-        q_t, q_n = m.output[target], m.output[noise]
-        s_t = (r * q_t).sum(1) + m.bias[target] - self.log_noise[target]
-        s_n = r @ q_n.T + (m.bias[noise] - self.log_noise[noise])
-        g_t = 1 / (1 + np.exp(np.clip(s_t, -30, 30)))  # towards the token that followed
-        g_n = -1 / (1 + np.exp(-np.clip(s_n, -30, 30)))  # away from the noise
-        d_r = g_t[:, None] * q_t + g_n @ q_n
-        d_out, d_bias = np.zeros_like(m.output), np.zeros_like(m.bias)
-        np.add.at(d_out, target, g_t[:, None] * r)
-        np.add.at(d_out, noise, g_n.T @ r)
-        np.add.at(d_bias, target, g_t)
-        np.add.at(d_bias, noise, g_n.sum(0))
-        d_context, d_place = np.zeros_like(m.context), np.zeros_like(m.place)
-        for j in range(CONTEXT):
-            np.add.at(d_context, before[:, j], d_r * m.place[j])
-            d_place[j] = (d_r * m.context[before[:, j]]).sum(0)
-        for name, g in (("output", d_out), ("bias", d_bias), ("context", d_context), ("place", d_place)):
-            g = g / np.float32(n)
-            self.squares[name] += g * g
-            getattr(m, name)[...] += np.float32(RATE) * g / np.sqrt(self.squares[name])
+        d_r = self._contrast("output", "bias", r, target, self.cumulative, self.log_noise)
+        d_r += self._contrast("group", "group_bias", r, target // self.size, self.group_cumulative, self.log_group_noise)
+        near = [m.context.take(before[:, j], 0) for j in range(CONTEXT)]
+        d_context = np.concatenate([d_r * m.place[j] for j in range(CONTEXT)])
+        d_place = np.stack([np.einsum("ij,ij->j", d_r, c) for c in near])
+        self._move("context", *summed_rows(d_context, before.T.ravel()), n)
+        self._move("place", slice(None), d_place, n)
         self.examples += n
 
+    def _contrast(self, vectors: str, biases: str, r: np.ndarray, target: np.ndarray, cumulative: np.ndarray, log_noise: np.ndarray) -> np.ndarray:
+        """Move vectors and biases towards the targets and away from draws that the minibatch shares; the gradient of r."""
+        q, b = getattr(self.m, vectors), getattr(self.m, biases)
+        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(cumulative) - 1)
+        q_t, q_n = q.take(target, 0), q[noise]
+        s_t = np.einsum("ij,ij->i", r, q_t) + b[target] - log_noise[target]
+        s_n = r @ q_n.T + (b[noise] - log_noise[noise])
+        g_t, g_n = logistic(-s_t), -logistic(s_n)  # towards the token that followed, away from the noise
+        d_r = g_t[:, None] * q_t + g_n @ q_n
+        # the bias is one more dimension
+        rows = np.concatenate([np.column_stack([g_t[:, None] * r, g_t]), np.column_stack([g_n.T @ r, g_n.sum(0)])])
+        at, d = summed_rows(rows, np.concatenate([target, noise]))
+        self._move(vectors, at, d[:, :-1], len(target))
+        self._move(biases, at, d[:, -1], len(target))
+        return d_r
+
+    def _move(self, name: str, at: np.ndarray | slice, gradient: np.ndarray, n: int) -> None:
+        g = gradient / np.float32(n)
+        self.squares[name][at] += g * g
+        getattr(self.m, name)[at] += np.float32(RATE) * g / np.sqrt(self.squares[name][at])
+
 
 def head_places(words: list[bytes], k: Classes) -> np.ndarray:
     """Place in the head of each word and of the end; -1 for the other words."""
-    ids = [k.head.get(w, -1) for w in words]
+    place = k.head.get
+    ids = [place(w, -1) for w in words]
     ids.append(k.head[END])
     return np.array(ids, np.int64)
 
@@ -258,7 +307,7 @@ def train(docs: DataFrame, k: Classes) -> LogBilinear:
             w = np.zeros(len(rows))
             for r in rows:
                 w[r["i"]] = r["w"]
-            model = LogBilinear.of_flat(w, len(k.unigram))
+            model = model.of_flat(w)
     return model
 
 
@@ -293,19 +342,31 @@ def _partial(docs: DataFrame, k: Classes, model: LogBilinear) -> DataFrame:
         k, model = shared.value
         in_training = k.logs > 0
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
+            out, held, waiting = [], [], 0
+            scores = np.zeros(b.num_rows)
+
+            def score_held():
+                before, target = (np.concatenate(x) for x in list(zip(*held))[1:])
+                of = np.repeat([i for i, _, _ in held], [len(x) for _, _, x in held])
+                for at in range(0, len(target), POSITIONS):  # long texts in steps, to bound the memory
+                    now = slice(at, at + POSITIONS)
+                    scores[:] += np.bincount(of[now], model.log_probabilities(before[now], target[now]), len(scores))
+
+            for i, t in enumerate(b.column(2).to_pylist()):
                 words = ascii_words(t)
                 ids = head_places(words, k)
                 inside = ids[ids >= 0]
                 tail = Counter(words[i] for i in np.flatnonzero(ids < 0).tolist())
-                before, target = windows(class_sequence(words, ids, k))
-                score = 0.0
-                step = max(1, LOGITS // len(k.mass))
-                for at in range(0, len(target), step):  # long texts in steps, to bound the memory
-                    score += model.log_probabilities(before[at : at + step], target[at : at + step]).sum()
-                score = score / np.log(10) + k.share[inside].sum() - sum(c * k.mass[k.suffix_class(w)] for w, c in tail.items())
-                out.append((len(words) + 1, int(in_training[inside].sum()), float(k.logs[inside].sum()), float(score), [{"token": w, "times": c} for w, c in tail.items()]))
+                held.append((i, *windows(class_sequence(words, ids, k))))
+                waiting += len(ids)
+                if waiting >= POSITIONS:
+                    score_held()
+                    held, waiting = [], 0
+                shares = k.share[inside].sum() - sum(c * k.mass[k.suffix_class(w)] for w, c in tail.items())
+                out.append((len(words) + 1, int(in_training[inside].sum()), float(k.logs[inside].sum()), float(shares), [{"token": w, "times": c} for w, c in tail.items()]))
+            if held:
+                score_held()
+            out = [(*row[:3], row[3] + score / math.log(10), row[4]) for row, score in zip(out, scores.tolist())]
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=["doc_id", "held_out", "n_tokens", "head_known", "head_logs", "score", "tail"])
 
