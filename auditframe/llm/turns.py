@@ -7,7 +7,8 @@ that the incumbent's cost still allows, and equal costs are decided by comparing
 
 * Blank turns, and turns whose role and text stood earlier in the conversation, must go.  As D is the least initial, their
   place never changes which alignment of the other, live turns is best, so only live turns are aligned.
-* Live turns are numbered over the whole table and cut into blocks of ``BLOCK``, so a conversation may hold any share of the rows.  A
+* A conversation of at most ``BLOCK`` rows is one block, so its rows are repaired where its texts are met.
+* Live turns of longer ones are numbered over the whole table and cut into blocks of ``BLOCK``, so a conversation may hold any share of the rows.  A
   block is aligned for every state of the grammar (nothing yet, or the last turn's initial) before and after it.  Blocks
   are combined ``FAN`` at a time, by cost and then by audit, up to the whole conversation, and the chosen states go down again.
   That is exact: two audits of equal cost over the same rows never have one as the beginning of the other.
@@ -105,23 +106,48 @@ def wagner_fischer(turns: str, target: str, bound: int, tail: bool = True) -> tu
     return best[0][1 - low], "".join(audit)
 
 
+@functools.lru_cache(maxsize=16)  # states that lead to the same strings ask for the same costs
+def _costs(turns: str, target: str, bound: int, tail: bool) -> list[int]:
+    """The least cost of aligning the turns with each beginning of the target, exact up to the bound."""
+    n, m, never = len(turns), len(target), 1 << 60
+    shifts = [k for k in range(-n, m + 1) if _shift(k) <= bound]
+    row = [j * INSERT if (tail or n) and j <= shifts[-1] and (j == 0 or target[0] in _FULL) else never for j in range(m + 1)]
+    for i, turn in enumerate(turns, 1):
+        above, row, left = row, [never] * (m + 1), never
+        inserts = INSERT if tail or i < n else never
+        stays, letter = TRUNCATED * turn.isupper(), turn.lower()
+        for j in range(max(0, i + shifts[0]), min(m, i + shifts[-1]) + 1):
+            cost = above[j] + DELETE
+            if j:
+                goal = target[j - 1]
+                if letter == goal or goal in _FULL:
+                    cost = min(cost, above[j - 1] + stays + (REROLE if letter != goal else 0))
+                if goal in _FULL:
+                    cost = min(cost, left + inserts)
+            row[j] = left = cost
+    return row
+
+
 @functools.lru_cache(maxsize=1 << 16)
 def alignments(turns: str, entry: str = NOTHING, tail: bool = True) -> dict[str, tuple[int, str]]:
-    """The best (cost, audit) from the state ``entry`` to every state that can follow."""
-    n, found = len(turns), {}
+    """The best (cost, audit) from the state ``entry`` to every state that can follow.
+
+    The costs of all lengths come from one pass; only the cheapest lengths of a state are aligned, within the band of that cost.
+    """
+    n, least, found = len(turns), {}, {}
     most = DELETE * n + 2 * INSERT
+    tried = []
     for opening in (False, True) if entry == NOTHING else (False,):
-        for shift in sorted(range(-n, most // INSERT + 1), key=_shift):
-            if opening and n + shift == 0:
-                continue
-            target = _target(entry, opening, n + shift)
-            exit_ = (target or entry)[-1]
-            bound = found[exit_][0] if exit_ in found else most
-            if _shift(shift) > bound:
-                continue
-            got = wagner_fischer(turns, target, bound, tail)
-            if got and (exit_ not in found or got < found[exit_]):
-                found[exit_] = got
+        target = _target(entry, opening, n + most // INSERT)
+        for length, cost in enumerate(_costs(turns, target, most, tail)):
+            if cost <= most and (length or not opening):
+                exit_ = (target[:length] or entry)[-1]
+                least[exit_] = min(cost, least.get(exit_, cost))
+                tried.append((exit_, cost, target[:length]))
+    for exit_, cost, target in tried:
+        if cost == least[exit_]:
+            got = wagner_fischer(turns, target, cost, tail)
+            found[exit_] = min(got, found.get(exit_, got))
     return found
 
 
@@ -173,6 +199,12 @@ def _letter() -> Column:
     return F.when(F.col("cut"), F.upper(known)).otherwise(known)
 
 
+def _initial(role: str, cut: bool) -> str:
+    """``_letter`` of one turn."""
+    known = role[:1] if role[:1] in ("s", "u", "a") else "x"
+    return known.upper() if cut else known
+
+
 def _blocks(slim: DataFrame) -> DataFrame:
     """(conv, block, last, turns, rows) of the live turns of distinct rows (_KEY, copies, blank, cut)."""
     present = slim.filter("copies > 0 AND NOT blank")
@@ -236,9 +268,29 @@ def _chosen(blocks: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- edits
 
 
+def _applied(turns: list[tuple[str, str]], audit: str, state: str) -> list[tuple[str, list[str], str | None, list[str]]]:
+    """(edit, roles inserted before, role it gets, roles inserted after the last one) of every live turn (role, letter)."""
+    out, before, rows = [], [], iter(turns)
+    for edit in audit:
+        if edit == "I":
+            state = "a" if state == "u" else "u"
+            before.append(_FULL[state])
+            continue
+        (role, letter), becomes = next(rows), None
+        if edit != "D":
+            state = letter.lower() if edit == "K" else "a" if state == "u" else "u"
+            becomes = role if edit == "K" else _FULL[state]
+        out.append((edit, before, becomes, []))
+        before = []
+    out[-1][3].extend(before)
+    return out
+
+
 def _edits(slim: DataFrame) -> DataFrame:
     """(_KEY, edit, before, becomes, after): of every live turn its edit, the roles inserted before it, its role, and those after the last turn."""
-    blocks = cut_lineage(_blocks(slim))
+    # dealt out anew, as blocks are few bytes and much work
+    parts = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = cut_lineage(_blocks(slim).repartition(parts, "conv", "block"))
     several = blocks.filter("last > 0")
     one = blocks.filter("last = 0").select("conv", F.lit(NOTHING).alias("entry"), F.lit(None).cast("string").alias("exit"), F.lit(True).alias("tail"), "turns", "rows")
     if several.limit(1).count():
@@ -251,19 +303,9 @@ def _edits(slim: DataFrame) -> DataFrame:
             out = []
             for conv, state, exit_, tail, turns, rows in zip(*[c.to_pylist() for c in b.columns]):
                 found = alignments(turns, state, tail)
-                before, letters = [], iter(rows)
-                for edit in found[exit_ or _closed(found)][1]:
-                    if edit == "I":
-                        state = "a" if state == "u" else "u"
-                        before.append(_FULL[state])
-                        continue
-                    row, becomes = next(letters), None
-                    if edit != "D":
-                        state = row["letter"].lower() if edit == "K" else "a" if state == "u" else "u"
-                        becomes = row["role"] if edit == "K" else _FULL[state]
-                    out.append({"conv": conv, "has": row["has"], "at": row["at"], "role": row["role"], "digest": row["digest"], "edit": edit, "before": before, "becomes": becomes, "after": []})
-                    before = []
-                out[-1]["after"] = before
+                edits = _applied([(row["role"], row["letter"]) for row in rows], found[exit_ or _closed(found)][1], state)
+                for row, (edit, before, becomes, after) in zip(rows, edits):
+                    out.append({"conv": conv, "has": row["has"], "at": row["at"], "role": row["role"], "digest": row["digest"], "edit": edit, "before": before, "becomes": becomes, "after": after})
             yield pa.RecordBatch.from_struct_array(pa.array(out, kind))
 
     schema = "conv string, has boolean, at bigint, role string, digest binary, edit string, before array<string>, becomes string, after array<string>"
@@ -351,8 +393,8 @@ class _Report:
         return (self.conv, gaps, self.blank, self.duplicate, self.truncated, self.illegal, self.cost, "".join(self.audit), self.hash.hexdigest())
 
 
-def audits(turns: DataFrame) -> DataFrame:
-    """One report a conversation of (conv, turn, role, text, copies): faults, cost, audit and the digest of its repaired text."""
+def _long_audits(turns: DataFrame) -> DataFrame:
+    """Reports of conversations of any length."""
     rows = _keyed(turns)
     slim = _slim(rows)
     marks = slim.join(_edits(slim), _KEY, "left").select(*_KEY, F.lit(0).alias("kind"), "copies", "blank", "cut", "edit", "before", "becomes", "after", F.lit(None).cast("string").alias("text"))
@@ -382,6 +424,65 @@ def audits(turns: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, _REPORT)
 
 
+def _short_report(conv: str, rows: list[tuple]) -> tuple:
+    """The report of a conversation of one block from its rows (_KEY without conv, copies, blank, cut, text) in order."""
+    distinct: list[list] = []
+    for row in rows:
+        if distinct and distinct[-1][:4] == list(row[:4]):
+            distinct[-1][4] += row[4]
+        else:
+            distinct.append(list(row))
+    first: dict = {}
+    for place, (_, _, role, digest, copies, blank, _, _) in enumerate(distinct):
+        if copies and not blank:
+            first.setdefault((role, digest), place)
+    live = {place: (distinct[place][2], _initial(distinct[place][2], distinct[place][6])) for place in first.values()}
+    edits = {}
+    if live:
+        found = alignments("".join(letter for _, letter in live.values()))
+        edits = dict(zip(live, _applied(list(live.values()), found[_closed(found)][1], NOTHING)))
+    report = _Report(conv)
+    for place, (has, at, role, _, copies, blank, cut, text) in enumerate(distinct):
+        report.row(has, at, role, copies, blank, cut, *edits.get(place, (None,) * 4))
+        report.text(text)
+    return report.done()
+
+
+def _short_audits(turns: DataFrame) -> DataFrame:
+    """Reports of conversations of at most ``BLOCK`` rows: each is met in order and repaired as one block."""
+    ordered = _keyed(turns).select(*_KEY, "copies", "blank", "cut", "text").repartition("conv").sortWithinPartitions(*_KEY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split(" ")[0] for c in _REPORT.split(", ")]
+        now, rows = None, []
+        for b in batches:
+            done = []
+            for conv, *row in zip(*[c.to_pylist() for c in b.columns]):
+                if conv != now:
+                    if rows:
+                        done.append(_short_report(now, rows))
+                    now, rows = conv, []
+                rows.append(tuple(row))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in _short_report(now, rows)], names=names)
+
+    return ordered.mapInArrow(run, _REPORT)
+
+
+def audits(turns: DataFrame) -> DataFrame:
+    """One report a conversation of (conv, turn, role, text, copies): faults, cost, audit and the digest of its repaired text.
+
+    Only conversations of more than one block are numbered, cut and combined; for the others their texts move once and nothing is written.
+    """
+    long = cut_lineage(turns.groupBy("conv").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("conv"))
+    short = _short_audits(turns.join(long, "conv", "left_anti"))
+    if not long.limit(1).count():
+        return short
+    return short.unionByName(_long_audits(turns.join(long, "conv", "left_semi")))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pick(table(spark, sf_dir, "conversations"), conv_id="conv_id", turn="turn", role="role", text="text")
     found = audits(damaged(rows))
